@@ -68,48 +68,77 @@ def tokenizer_json(ranks: dict[bytes, int]) -> str:
 
 
 class Vocabulary:
-    """A rank file as executors need it: the tokenizer's JSON and the bytes of each id, broadcast."""
+    """A rank file as executors need it, broadcast: the tokenizer's JSON, the pattern that splits texts before merges,
+    the bytes of each id, and a dictionary that each Python worker fills with the pieces it has met."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, pattern: str):
         ranks = load_ranks(path)
         table = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             table[rank] = token
-        self.shared = spark.sparkContext.broadcast((tokenizer_json(ranks), table))
+        self.shared = spark.sparkContext.broadcast((tokenizer_json(ranks), pattern, table, {}))
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], shared, text_col: str, offsets: bool) -> Iterator[pa.RecordBatch]:
+#: Pieces that a worker remembers; later ones are encoded each time they occur.
+MEMO_PIECES = 600_000
+
+
+def _tokenizer(text: str):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(shared.value[0])
+    return Tokenizer.from_str(text)
+
+
+def _ids_by_piece(texts: list[str], tokenizer, split, memo: dict) -> list[np.ndarray]:
+    """The ids of each text, from those of its pieces: a piece never merges with its neighbours, and most recur."""
+    pieces = [split(t) for t in texts]
+    missing = list(set().union(*pieces) - memo.keys())
+    found = {x: np.array(e.ids, np.int32).tobytes() for x, e in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False))}
+    if len(memo) + len(found) <= MEMO_PIECES:
+        memo |= found
+        get = memo.__getitem__
+    else:
+        get = lambda x: memo.get(x) or found[x]
+    return [np.frombuffer(b"".join(map(get, p)), np.int32) for p in pieces]
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], shared, text_col: str, offsets: bool) -> Iterator[pa.RecordBatch]:
+    import regex
+
+    text, pattern, _, memo = shared.value
+    if not offsets:
+        spec = json.loads(text)
+        spec["pre_tokenizer"]["use_regex"] = False
+        text = json.dumps(spec)
+    tokenizer, split = _tokenizer(text), regex.compile(pattern).findall
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-        texts = [t or "" for t in texts]
+        texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
         for start, end in chunks_by_chars([len(t) for t in texts], CHUNK_CHARS):
-            encode = tokenizer.encode_batch if offsets else tokenizer.encode_batch_fast
-            found = encode(texts[start:end], add_special_tokens=False)
-            ids = [np.array(e.ids, np.int32) for e in found]
+            if offsets:
+                found = tokenizer.encode_batch(texts[start:end], add_special_tokens=False)
+                ids = [np.array(e.ids, np.int32) for e in found]
+            else:
+                ids = _ids_by_piece(texts[start:end], tokenizer, split, memo)
             ends = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) for x in ids], out=ends[1:])
             as_lists = lambda values: pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))  # noqa: E731, B023
             new = {"token_ids": as_lists(np.concatenate(ids))}
             if offsets:
-                spans = [np.array(e.offsets, np.int32).reshape(-1, 2) for e in found]
-                spans = np.concatenate(spans)
+                spans = np.concatenate([np.array(e.offsets, np.int32).reshape(-1, 2) for e in found])
                 new |= {"token_starts": as_lists(spans[:, 0]), "token_ends": as_lists(spans[:, 1])}
             yield add_arrays(batch.slice(start, end - start), new)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    table = shared.value[1]
+    table = shared.value[2]
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("token_ids"))
         flat = ids.flatten().to_pylist()
         ends = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(int)
-        texts = [b"".join([table[i] for i in flat[a:b]]) for a, b in zip(ends, ends[1:])]
+        texts = [b"".join(map(table.__getitem__, flat[a:b])) for a, b in zip(ends, ends[1:])]
         yield add_arrays(batch, {"decoded": pa.array(texts, pa.binary())})
 
 

@@ -10,7 +10,7 @@ from .common import read
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.digests(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
 
 
