@@ -37,30 +37,53 @@ from .shingles import _FACTORS, mix, set_identity, shingle_sets
 #: Buckets of the token counts, and bits of the filter for candidates: both bound what is broadcast (16 KB and 2 MB).
 COUNT_BUCKETS = 1 << 17
 FILTER_BITS = 1 << 24
+#: Bits of a set's parities.
+PARITY_BITS = 2048
+
+
+def _parities(tokens: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits: of the tokens that fall on each, whether their number is odd. In two sets' xor, each differing
+    bit stands for a token at least that only one of them has."""
+    odd = np.bincount(((tokens >> np.uint64(40)) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document (doc_id, n, ident), and the counts of this task's distinct tokens by bucket."""
-    counts = np.zeros(COUNT_BUCKETS, np.int64)
-    names = ["doc_id", "n", "ident", "bucket", "count"]
+    """A row for each document (doc_id, n, ident, and once a task and ident parities), and the counts of this task's
+    distinct tokens by bucket."""
+    counts, seen = np.zeros(COUNT_BUCKETS, np.int64), set()
+    names = ["doc_id", "n", "ident", "parities", "bucket", "count"]
+
+    def add(tokens):
+        np.add(counts, np.bincount((np.concatenate(tokens) & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64), minlength=COUNT_BUCKETS), out=counts)
+
     for batch in batches:
-        sizes, idents, tokens = [], [], []
+        sizes, idents, tokens, held, bits, lengths = [], [], [], 0, [], []
         for _, found in shingle_sets(batch.column(1), k):
+            ident = set_identity(found)
             sizes.append(len(found))
-            idents.append(set_identity(found))
+            idents.append(ident)
+            lengths.append(0 if ident in seen or not len(found) else PARITY_BITS // 64)
+            if lengths[-1]:
+                seen.add(ident)
+                bits.append(_parities(found))
             tokens.append(found)
-            if sum(map(len, tokens[-64:])) > 1_000_000 or len(tokens) > 4000:
-                counts += np.bincount((np.concatenate(tokens) & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64), minlength=COUNT_BUCKETS)
-                tokens = []
+            held += len(found)
+            if held > 1_000_000:
+                add(tokens)
+                tokens, held = [], 0
         if tokens:
-            counts += np.bincount((np.concatenate(tokens) & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64), minlength=COUNT_BUCKETS)
+            add(tokens)
         none = pa.nulls(len(sizes), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(idents, pa.int64()), none, none], names)
+        ends = np.zeros(len(sizes) + 1, np.int32)
+        np.cumsum(lengths, out=ends[1:])
+        parities = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(idents, pa.int64()), parities, none, none], names)
     full = np.flatnonzero(counts)
     for i in range(0, len(full), 50_000):
         part = full[i : i + 50_000]
         none = pa.nulls(len(part), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(part), pa.array(counts[part])], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(part), pa.list_(pa.int64())), pa.array(part), pa.array(counts[part])], names)
 
 
 class Signatures:
@@ -104,7 +127,7 @@ class Signatures:
             end = int(np.searchsorted(reached, need)) + 1
             order = np.argsort(sub[:end], kind="stable")
             held, at = often[:end][order], sub[:end][order]
-            salt = np.uint64(c + 1) * _FACTORS[40]
+            salt = np.uint64((c + 1) * int(_FACTORS[40]) % 2**64)
             for gap in range(1, end):
                 same = at[gap:] == at[:-gap]
                 if not same.any():
@@ -168,26 +191,22 @@ def _shared_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _candidate_sets(batches: Iterator[pa.RecordBatch], k: int, wanted) -> Iterator[pa.RecordBatch]:
-    """(ident, tokens) of the documents that the filter lets pass, once a task."""
-    bits, seen = np.frombuffer(wanted.value, np.uint64), set()
+    """(ident, tokens) of the documents (doc_id, text) whose ids the filter lets pass."""
+    bits = np.frombuffer(wanted.value, np.uint8)
     for batch in batches:
+        at = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) & (FILTER_BITS - 1)
+        batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
         idents, sets, total = [], [], 0
 
         def rows():
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             return pa.RecordBatch.from_arrays([pa.array(idents, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["ident", "tokens"])  # noqa: B023
 
-        for _, tokens in shingle_sets(batch.column(0), k):
-            if not len(tokens):
-                continue
-            ident = set_identity(tokens)
-            at = int(np.uint64(ident.view(np.uint64)) % np.uint64(FILTER_BITS))
-            if not (int(bits[at >> 6]) >> (at & 63)) & 1 or ident in seen:
-                continue
-            seen.add(ident)
-            idents.append(ident)
-            sets.append(tokens)
-            total += len(tokens)
+        for _, tokens in shingle_sets(batch.column(1), k):
+            if len(tokens):
+                idents.append(set_identity(tokens))
+                sets.append(tokens)
+                total += len(tokens)
             if total > 500_000:
                 yield rows()
                 idents, sets, total = [], [], 0
@@ -206,30 +225,30 @@ def _heavy_buckets(counts: DataFrame, spark):
     return spark.sparkContext.broadcast(np.packbits(heavy, bitorder="little").tobytes())
 
 
-def _filter_of(pairs: DataFrame, spark):
-    """A bit for each ident of ``pairs`` modulo FILTER_BITS."""
-    at = F.col("ident").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
-    idents = pairs.select("ident").unionByName(pairs.select(F.col("lead").alias("ident"))).select(at.alias("at"))
-    words = idents.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+def _filter_of(ids: DataFrame, spark):
+    """A bit for each doc_id of ``ids`` modulo FILTER_BITS."""
+    at = F.col("doc_id").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
+    words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     for word, found in words.collect():  # FILTER_BITS / 64 rows at most
         bits[word] = found
     return spark.sparkContext.broadcast(bits.tobytes())
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (ident, lead) that are similar enough, by their whole sets."""
-    spark = pairs.sparkSession
-    pairs = Cut(pairs, "pairs")
-    wanted = _filter_of(pairs.df, spark)
-    sets = docs.select("text").mapInArrow(lambda it: _candidate_sets(it, k, wanted), "ident long, tokens array<long>")
-    sets = Cut(sets, "sets")
-    # Copies in several tasks give a set several times; distinct() would compare whole sets, so pairs are made distinct.
-    one = sets.df.select("ident", F.col("tokens").alias("a"))
-    two = sets.df.select(F.col("ident").alias("lead"), F.col("tokens").alias("b"))
+def _verified(pairs: DataFrame, docs: DataFrame, parities: DataFrame, lowest: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those pairs (ident, n, lead, lead_n) that are similar enough: by their parities as far as these can tell, then by
+    their whole sets, which are made anew from the texts of the documents concerned."""
+    differ = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    one, two = parities.select("ident", F.col("parities").alias("a")), parities.select(F.col("ident").alias("lead"), F.col("parities").alias("b"))
+    near = pairs.join(one, "ident").join(two, "lead").where(differ * (100 + percent) <= (F.col("n") + F.col("lead_n")) * (100 - percent))
+    pairs = Cut(near.select("ident", "lead"), "pairs").df
+    idents = pairs.select("ident").unionByName(pairs.select(F.col("lead").alias("ident"))).distinct()
+    wanted = _filter_of(idents.join(lowest, "ident").select(F.col("low").alias("doc_id")), pairs.sparkSession)
+    sets = Cut(docs.mapInArrow(lambda it: _candidate_sets(it, k, wanted), "ident long, tokens array<long>"), "sets").df
+    one, two = sets.select("ident", F.col("tokens").alias("a")), sets.select(F.col("ident").alias("lead"), F.col("tokens").alias("b"))
     same = F.size(F.array_intersect("a", "b"))
-    joined = pairs.df.join(one, "ident").join(two, "lead").where(same * 100 >= (F.size("a") + F.size("b") - same) * percent)
-    return Cut(joined.select(F.col("ident").alias("u"), F.col("lead").alias("v")).distinct(), "links").df
+    alike = pairs.join(one, "ident").join(two, "lead").where(same * 100 >= (F.size("a") + F.size("b") - same) * percent)
+    return Cut(alike.select(F.col("ident").alias("u"), F.col("lead").alias("v")).distinct(), "links").df
 
 
 def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -237,32 +256,35 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     reach, where documents link if their sets of k-word shingles have a Jaccard similarity of ``percent`` hundredths."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = Cut(docs.mapInArrow(lambda it: _first_pass(it, k), "doc_id long, n long, ident long, bucket long, count long"), "first")
-    each = first.df.where("n is not null").select("doc_id", "n", "ident")
-    heavy = _heavy_buckets(first.df.where("bucket is not null"), spark)
+    first = Cut(docs.mapInArrow(lambda it: _first_pass(it, k), "doc_id long, n long, ident long, parities array<long>, bucket long, count long"), "first").df
+    each = first.where("n is not null").select("doc_id", "n", "ident")
+    parities = first.where("size(parities) > 0").select("ident", "parities").dropDuplicates(["ident"])
+    lowest = Cut(each.where("n > 0 and doc_id is not null").groupBy("ident").agg(F.min("doc_id").alias("low")), "lowest").df
+    heavy = _heavy_buckets(first.where("bucket is not null"), spark)
+    docs = docs.where("doc_id is not null")
 
     sigs = docs.select("text").mapInArrow(lambda it: _signature_rows(it, k, percent, heavy), "sig long, ident long, n int")
     shared = Cut(sigs.repartition("sig").mapInArrow(_shared_signatures, "sig long, ident long, n int, lead long, lead_n int"), "shared").df
     fits = F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent
-    tried = shared.where((F.col("ident") != F.col("lead")) & fits).select("ident", "lead").distinct()
-    links = _verified(tried, docs, k, percent)
+    tried = Cut(shared.where((F.col("ident") != F.col("lead")) & fits).select("ident", "n", "lead", "lead_n").distinct(), "tried").df
+    links = _verified(tried, docs, parities, lowest, k, percent)
     label = components(links)
 
     # What is left: sets that share a signature but lie in different components, as far as the leaders tell.
     named = shared.select("sig", "ident", "n").join(label.withColumnRenamed("node", "ident"), "ident", "left").withColumn("component", F.coalesce("component", "ident"))
     named = Cut(named, "named").df
     open_sigs = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    left = Cut(named.join(open_sigs, "sig"), "open").df
+    left = named.join(open_sigs, "sig")
     other = left.select("sig", F.col("ident").alias("lead"), F.col("n").alias("lead_n"), F.col("component").alias("lead_component"))
-    rest = left.join(other, "sig").where((F.col("component") != F.col("lead_component")) & (F.col("ident") < F.col("lead")) & fits).select("ident", "lead").distinct()
+    rest = left.join(other, "sig").where((F.col("component") != F.col("lead_component")) & (F.col("ident") < F.col("lead")) & fits).select("ident", "n", "lead", "lead_n").distinct()
     known = tried.select(F.least("ident", "lead").alias("ident"), F.greatest("ident", "lead").alias("lead"))
-    rest = Cut(rest.join(known, ["ident", "lead"], "left_anti"), "rest").df
-    if not rest.isEmpty():
-        label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(_verified(rest, docs, k, percent)))
+    rest = rest.join(known, ["ident", "lead"], "left_anti")
+    more = _verified(rest, docs, parities, lowest, k, percent)
+    if not more.isEmpty():
+        label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
-    lowest = each.where("n > 0").groupBy("ident").agg(F.min("doc_id").alias("low"))
     named = lowest.join(label.withColumnRenamed("node", "ident"), "ident", "left").withColumn("component", F.coalesce("component", "ident"))
     of = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    of = Cut(named.join(of, "component").select("ident", "component_id"), "of").df
+    of = named.join(of, "component").select("ident", "component_id")
     filled = each.where("n > 0").join(of, "ident", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return filled.unionByName(each.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -80,7 +80,10 @@ def shingle_sets(batch_texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarra
         for i in range(end - start):
             a, b = at[i], at[i + 1]
             if b - a >= k:
-                yield start + i, np.unique(total[a : b - k + 1])
+                found = np.sort(total[a : b - k + 1])
+                keep = np.ones(len(found), bool)
+                np.not_equal(found[1:], found[:-1], out=keep[1:])
+                yield start + i, found[keep]
             elif b > a:
                 yield start + i, mix((words[a:b] * _FACTORS[: b - a]).sum(keepdims=True, dtype=np.uint64) + np.uint64(b - a))
             else:
