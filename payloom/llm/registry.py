@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join
+from . import bpe, jaccard_join, near_vectors
 from .common import read
 
 
@@ -14,12 +14,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_components(read(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op10_jaccard)}
+    return {f.__name__: f for f in (op1_bpe, op2_near_vectors, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
