@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quantisation, bpe, jaccard_join, near_vectors
+from . import additive_quantisation, bpe, jaccard_join, mixing, near_vectors
 from .common import read
 
 
@@ -23,12 +23,16 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive_quantisation.neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_near_vectors, op7_neighbours, op10_jaccard)}
+    return {f.__name__: f for f in (op1_bpe, op2_near_vectors, op7_neighbours, op8_mixing, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
