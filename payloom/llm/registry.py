@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quantisation, bpe, jaccard_join, mixing, near_vectors
-from .common import read
+from . import additive_quantisation, bpe, jaccard_join, language, mixing, near_vectors, quality
+from .common import crc_mod, read
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,21 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_components(read(spark, sf_dir, "embeddings"), least=0.98)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    model = quality.train(docs.select("doc_id", "text"), labels.where(~held_out))
+    scored = quality.score(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    network = language.train(docs.where(~held_out))
+    return language.predict(docs, network, [F.col("doc_id"), held_out.alias("held_out")])
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive_quantisation.neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -32,7 +47,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_near_vectors, op7_neighbours, op8_mixing, op10_jaccard)}
+    return {f.__name__: f for f in (op1_bpe, op2_near_vectors, op3_quality, op4_language, op7_neighbours, op8_mixing, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
