@@ -10,7 +10,8 @@ and none is lost. How many subclasses there are follows from the size class of t
 lie in the same or adjacent classes, so that every set indexes its pairs for its own class and the next.
 
 Which tokens are frequent comes from counts over all documents in a fixed number of hash buckets; any choice gives the
-same results. Copies are one set. Within the documents of a signature, each is verified against one leader; components
+same results. Sets that meet at a pair of frequent tokens have indexed all their rare ones, so unless they meet at one of those
+too, all of them are losses; where these are too many, the pair is left out. Copies are one set. Within the documents of a signature, each is verified against one leader; components
 follow; then only pairs that still lie in different components are verified. So a group of near copies costs links in
 proportion to its size, and no link between different components is lost.
 
@@ -38,7 +39,7 @@ from .shingles import _FACTORS, mix, set_identity, shingle_sets
 COUNT_BUCKETS = 1 << 17
 FILTER_BITS = 1 << 24
 #: Bits of a set's parities.
-PARITY_BITS = 2048
+PARITY_BITS = 1024
 
 
 def _parities(tokens: np.ndarray) -> np.ndarray:
@@ -106,12 +107,13 @@ class Signatures:
         many = max(1, (self.losses(math.ceil(math.exp(size_class * self.base))) + 1) // 3)
         return many if least - self.losses(least) - 1 >= many else 0
 
-    def of(self, tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-        """tokens: sorted and distinct; frequent: which of them are so."""
+    def of(self, tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The signatures, and for those of frequent tokens how many rare ones the set has (all of them are indexed then),
+        else -1. tokens: sorted and distinct; frequent: which of them are so."""
         need = self.losses(len(tokens)) + 1
         rare = tokens[~frequent]
         if len(rare) >= need:
-            return mix(rare[:need])
+            return mix(rare[:need]), np.full(need, -1, np.int32)
         often, out = tokens[frequent], [mix(rare)]
         need -= len(rare)
         own = self.size_class(len(tokens))
@@ -133,7 +135,8 @@ class Signatures:
                 if not same.any():
                     break
                 out.append(mix(held[:-gap][same] * _FACTORS[41] + held[gap:][same] * _FACTORS[42] + salt))
-        return np.unique(np.concatenate(out))
+        out = np.concatenate(out)
+        return out, np.where(np.arange(len(out)) < len(rare), -1, len(rare)).astype(np.int32)
 
 
 def _signature_rows(batches: Iterator[pa.RecordBatch], k: int, percent: int, heavy) -> Iterator[pa.RecordBatch]:
@@ -141,9 +144,10 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], k: int, percent: int, hea
     bits = np.frombuffer(heavy.value, np.uint8)
 
     def rows(parts):
-        sigs = np.concatenate([s for s, _, _ in parts]).view(np.int64)
-        lengths = [len(s) for s, _, _ in parts]
-        return pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(np.repeat(np.array([i for _, i, _ in parts], np.int64), lengths)), pa.array(np.repeat(np.array([n for _, _, n in parts], np.int32), lengths))], ["sig", "ident", "n"])
+        sigs, rare = (np.concatenate([p[0][i] for p in parts]) for i in (0, 1))
+        lengths = [len(p[0][0]) for p in parts]
+        idents, sizes = np.repeat(np.array([p[1] for p in parts], np.int64), lengths), np.repeat(np.array([p[2] for p in parts], np.int32), lengths)
+        return pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(idents), pa.array(sizes), pa.array(rare)], ["sig", "ident", "n", "rare"])
 
     for batch in batches:
         parts, total = [], 0
@@ -158,7 +162,7 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], k: int, percent: int, hea
             frequent = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
             found = make.of(tokens, frequent.astype(bool))
             parts.append((found, ident, len(tokens)))
-            total += len(found)
+            total += len(found[0])
             if total > 200_000:
                 yield rows(parts)
                 parts, total = [], 0
@@ -167,27 +171,28 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], k: int, percent: int, hea
 
 
 def _shared_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the rows of a partition by signature, those whose signature several sets have, with a leader for each."""
+    """Of the rows of a partition by signature, those whose signature several sets have, with a leader for each: the one
+    with the fewest rare tokens."""
     held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
     if not held:
         return
-    sig, ident, n = (np.concatenate(x) for x in zip(*held))
+    sig, ident, n, rare = (np.concatenate(x) for x in zip(*held))
     del held
-    rank = mix(ident.view(np.uint64))
+    rank = ((rare + 1).astype(np.uint64) << np.uint64(40)) | (mix(ident.view(np.uint64)) >> np.uint64(24))
     order = np.lexsort((rank, sig))
-    sig, ident, n = sig[order], ident[order], n[order]
+    sig, ident, n, rare = sig[order], ident[order], n[order], rare[order]
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (ident[1:] != ident[:-1])
-    sig, ident, n = sig[new], ident[new], n[new]
+    sig, ident, n, rare = sig[new], ident[new], n[new], rare[new]
     first = np.ones(len(sig), bool)
     first[1:] = sig[1:] != sig[:-1]
     start = np.flatnonzero(first)
     length = np.diff(np.append(start, len(sig)))
     keep = np.repeat(length > 1, length)
     lead = np.repeat(start, length)
-    out = [sig[keep], ident[keep], n[keep], ident[lead][keep], n[lead][keep]]
+    out = [sig[keep], ident[keep], n[keep], rare[keep], ident[lead][keep], n[lead][keep], rare[lead][keep]]
     for i in range(0, len(out[0]), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in out], ["sig", "ident", "n", "lead", "lead_n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in out], ["sig", "ident", "n", "rare", "lead", "lead_n", "lead_rare"])
 
 
 def _candidate_sets(batches: Iterator[pa.RecordBatch], k: int, wanted) -> Iterator[pa.RecordBatch]:
@@ -221,7 +226,7 @@ def _heavy_buckets(counts: DataFrame, spark):
     for bucket, count in rows:
         total[bucket] = count
     mean = float(np.median(total))
-    heavy = total > mean + 6 * math.sqrt(mean) + 32
+    heavy = total > mean + 3 * math.sqrt(mean) + 8
     return spark.sparkContext.broadcast(np.packbits(heavy, bitorder="little").tobytes())
 
 
@@ -235,13 +240,43 @@ def _filter_of(ids: DataFrame, spark):
     return spark.sparkContext.broadcast(bits.tobytes())
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, parities: DataFrame, lowest: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (ident, n, lead, lead_n) that are similar enough: by their parities as far as these can tell, then by
-    their whole sets, which are made anew from the texts of the documents concerned."""
-    differ = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    one, two = parities.select("ident", F.col("parities").alias("a")), parities.select(F.col("ident").alias("lead"), F.col("parities").alias("b"))
-    near = pairs.join(one, "ident").join(two, "lead").where(differ * (100 + percent) <= (F.col("n") + F.col("lead_n")) * (100 - percent))
-    pairs = Cut(near.select("ident", "lead"), "pairs").df
+def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of the rows of a partition by signature: pairs of sets that share one, lie in different components and may be
+    similar by their sizes, rare tokens and parities; each pair once a task."""
+    held = [[c.to_numpy(zero_copy_only=False) for c in b.columns[:-1]] + [b.columns[-1].flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)] for b in batches]
+    if not held:
+        return
+    sig, ident, n, rare, component, bits = (np.concatenate(x) for x in zip(*held))
+    del held
+    order = np.argsort(sig, kind="stable")
+    sig, ident, n, rare, component, bits = (x[order] for x in (sig, ident, n.astype(np.int64), rare, component, bits))
+    start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    end = np.repeat(np.append(start[1:], len(sig)), np.diff(np.append(start, len(sig))))
+    row, gap, found = np.arange(len(sig)), 0, np.zeros(0, [("u", np.int64), ("v", np.int64)])
+    while True:
+        gap += 1
+        row = row[row + gap < end[row]]
+        if not len(row) and not len(found):
+            return
+        for a in range(0, len(row), 200_000):
+            i, j = row[a : a + 200_000], row[a : a + 200_000] + gap
+            both = n[i] + n[j]
+            keep = (component[i] != component[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
+            keep &= (rare[i] < 0) | ((rare[i] + rare[j]) * (100 + percent) <= both * (100 - percent))
+            i, j, both = i[keep], j[keep], both[keep]
+            near = np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)).sum(axis=1, dtype=np.int64) * (100 + percent) <= both * (100 - percent)
+            new = np.zeros(int(near.sum()), found.dtype)
+            new["u"], new["v"] = np.minimum(ident[i], ident[j])[near], np.maximum(ident[i], ident[j])[near]
+            found = np.unique(np.concatenate([found, new])) if len(new) else found
+        if not len(row) or len(found) > 200_000:
+            yield pa.RecordBatch.from_arrays([pa.array(found["u"].copy()), pa.array(found["v"].copy())], ["ident", "lead"])
+            found = found[:0]
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, lowest: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those pairs (ident, lead) that are similar enough, by their whole sets, which are made anew from the texts of the
+    documents concerned."""
+    pairs = Cut(pairs, "pairs").df
     idents = pairs.select("ident").unionByName(pairs.select(F.col("lead").alias("ident"))).distinct()
     wanted = _filter_of(idents.join(lowest, "ident").select(F.col("low").alias("doc_id")), pairs.sparkSession)
     sets = Cut(docs.mapInArrow(lambda it: _candidate_sets(it, k, wanted), "ident long, tokens array<long>"), "sets").df
@@ -263,23 +298,27 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     heavy = _heavy_buckets(first.where("bucket is not null"), spark)
     docs = docs.where("doc_id is not null")
 
-    sigs = docs.select("text").mapInArrow(lambda it: _signature_rows(it, k, percent, heavy), "sig long, ident long, n int")
-    shared = Cut(sigs.repartition("sig").mapInArrow(_shared_signatures, "sig long, ident long, n int, lead long, lead_n int"), "shared").df
-    fits = F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent
+    sigs = docs.select("text").mapInArrow(lambda it: _signature_rows(it, k, percent, heavy), "sig long, ident long, n int, rare int")
+    shared = Cut(sigs.repartition("sig").mapInArrow(_shared_signatures, "sig long, ident long, n int, rare int, lead long, lead_n int, lead_rare int"), "shared").df
+    # Sets that meet at frequent tokens have all their rare ones indexed. If they share none of these, all of them differ;
+    # if they do share one, they meet there.
+    few = (F.col("rare") < 0) | ((F.col("rare") + F.col("lead_rare")) * (100 + percent) <= (F.col("n") + F.col("lead_n")) * (100 - percent))
+    fits = (F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent) & few
     tried = Cut(shared.where((F.col("ident") != F.col("lead")) & fits).select("ident", "n", "lead", "lead_n").distinct(), "tried").df
-    links = _verified(tried, docs, parities, lowest, k, percent)
+    differ = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    one, two = parities.select("ident", F.col("parities").alias("a")), parities.select(F.col("ident").alias("lead"), F.col("parities").alias("b"))
+    near = tried.join(one, "ident").join(two, "lead").where(differ * (100 + percent) <= (F.col("n") + F.col("lead_n")) * (100 - percent))
+    links = _verified(near.select("ident", "lead"), docs, lowest, k, percent)
     label = components(links)
 
     # What is left: sets that share a signature but lie in different components, as far as the leaders tell.
-    named = shared.select("sig", "ident", "n").join(label.withColumnRenamed("node", "ident"), "ident", "left").withColumn("component", F.coalesce("component", "ident"))
+    named = shared.select("sig", "ident", "n", "rare").join(label.withColumnRenamed("node", "ident"), "ident", "left").withColumn("component", F.coalesce("component", "ident"))
     named = Cut(named, "named").df
     open_sigs = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    left = named.join(open_sigs, "sig")
-    other = left.select("sig", F.col("ident").alias("lead"), F.col("n").alias("lead_n"), F.col("component").alias("lead_component"))
-    rest = left.join(other, "sig").where((F.col("component") != F.col("lead_component")) & (F.col("ident") < F.col("lead")) & fits).select("ident", "n", "lead", "lead_n").distinct()
+    left = named.join(open_sigs, "sig").join(parities, "ident").select("sig", "ident", "n", "rare", "component", "parities")
+    rest = left.repartition("sig").mapInArrow(lambda it: _open_pairs(it, percent), "ident long, lead long").distinct()
     known = tried.select(F.least("ident", "lead").alias("ident"), F.greatest("ident", "lead").alias("lead"))
-    rest = rest.join(known, ["ident", "lead"], "left_anti")
-    more = _verified(rest, docs, parities, lowest, k, percent)
+    more = _verified(rest.join(known, ["ident", "lead"], "left_anti"), docs, lowest, k, percent)
     if not more.isEmpty():
         label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
