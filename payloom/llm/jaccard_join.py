@@ -38,17 +38,44 @@ from .shingles import _FACTORS, mix, set_identity, shingle_sets
 #: Buckets of the token counts, and bits of the filter for candidates: both bound what is broadcast (16 KB and 2 MB).
 COUNT_BUCKETS = 1 << 17
 FILTER_BITS = 1 << 24
-#: Bits of a set's parities.
-PARITY_BITS = 1024
 
 
 def _parities(tokens: np.ndarray) -> np.ndarray:
-    """PARITY_BITS bits: of the tokens that fall on each, whether their number is odd. In two sets' xor, each differing
-    bit stands for a token at least that only one of them has."""
-    odd = np.bincount(((tokens >> np.uint64(40)) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    """Bits, a power of two and one a token at least: of the tokens that fall on each, whether their number is odd. In the
+    xor of two sets' bits, each that is set stands for a token at least that only one of them has. Twice as many bits
+    fold into half of them by xor."""
+    bits = max(64, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount(((tokens >> np.uint64(40)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+class _Parities:
+    """Parities of many sets, comparable in bulk: for each width, those of that width and those of twice as many bits."""
+
+    def __init__(self, column: pa.Array):
+        flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        self.width = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        start = np.cumsum(self.width) - self.width
+        self.at, self.bits = np.zeros((2, len(self.width)), np.int64), {}
+        for w in np.unique(self.width):
+            own, double = np.flatnonzero(self.width == w), np.flatnonzero(self.width == 2 * w)
+            wide = flat[start[double][:, None] + np.arange(2 * w)]
+            self.bits[w] = np.concatenate([flat[start[own][:, None] + np.arange(w)], wide[:, :w] ^ wide[:, w:]])
+            self.at[0, own], self.at[1, double] = np.arange(len(own)), len(own) + np.arange(len(double))
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """At least so many tokens are in one of the sets i and j only (widths of a pair differ by a factor of two at most)."""
+        out, least = np.zeros(len(i), np.int64), np.minimum(self.width[i], self.width[j])
+        for w in np.unique(least):
+            where = np.flatnonzero(least == w)
+            step = max(1, 4_000_000 // int(w))
+            for a in range(0, len(where), step):
+                part = where[a : a + step]
+                one, two = (self.bits[w][self.at[(self.width[x[part]] != w).astype(int), x[part]]] for x in (i, j))
+                out[part] = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def _first_pass(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """A row for each document (doc_id, n, ident, and once a task and ident parities), and the counts of this task's
     distinct tokens by bucket."""
@@ -64,10 +91,10 @@ def _first_pass(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
             ident = set_identity(found)
             sizes.append(len(found))
             idents.append(ident)
-            lengths.append(0 if ident in seen or not len(found) else PARITY_BITS // 64)
-            if lengths[-1]:
+            if fresh := len(found) > 0 and ident not in seen:
                 seen.add(ident)
                 bits.append(_parities(found))
+            lengths.append(len(bits[-1]) if fresh else 0)
             tokens.append(found)
             held += len(found)
             if held > 1_000_000:
@@ -240,16 +267,25 @@ def _filter_of(ids: DataFrame, spark):
     return spark.sparkContext.broadcast(bits.tobytes())
 
 
+def _near_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Those rows (ident, n, lead, lead_n, a, b), where a and b are parities, whose sets may be similar by these."""
+    for batch in batches:
+        parities = _Parities(pa.concat_arrays([batch.column(4), batch.column(5)]))
+        both = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64) + batch.column(3).to_numpy(zero_copy_only=False)
+        at = np.arange(len(batch))
+        near = parities.differ(at, at + len(batch)) * (100 + percent) <= both * (100 - percent)
+        yield batch.select([0, 2]).filter(pa.array(near))
+
+
 def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Of the rows of a partition by signature: pairs of sets that share one, lie in different components and may be
     similar by their sizes, rare tokens and parities; each pair once a task."""
-    held = [[c.to_numpy(zero_copy_only=False) for c in b.columns[:-1]] + [b.columns[-1].flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)] for b in batches]
-    if not held:
+    table = pa.Table.from_batches(batches)
+    if not len(table):
         return
-    sig, ident, n, rare, component, bits = (np.concatenate(x) for x in zip(*held))
-    del held
-    order = np.argsort(sig, kind="stable")
-    sig, ident, n, rare, component, bits = (x[order] for x in (sig, ident, n.astype(np.int64), rare, component, bits))
+    table = table.sort_by("sig").combine_chunks()
+    sig, ident, n, rare, component = (table.column(c).to_numpy() for c in ("sig", "ident", "n", "rare", "component"))
+    n, parities = n.astype(np.int64), _Parities(table.column("parities").combine_chunks())
     start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     end = np.repeat(np.append(start[1:], len(sig)), np.diff(np.append(start, len(sig))))
     row, gap, found = np.arange(len(sig)), 0, np.zeros(0, [("u", np.int64), ("v", np.int64)])
@@ -264,7 +300,7 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
             keep = (component[i] != component[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
             keep &= (rare[i] < 0) | ((rare[i] + rare[j]) * (100 + percent) <= both * (100 - percent))
             i, j, both = i[keep], j[keep], both[keep]
-            near = np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)).sum(axis=1, dtype=np.int64) * (100 + percent) <= both * (100 - percent)
+            near = parities.differ(i, j) * (100 + percent) <= both * (100 - percent)
             new = np.zeros(int(near.sum()), found.dtype)
             new["u"], new["v"] = np.minimum(ident[i], ident[j])[near], np.maximum(ident[i], ident[j])[near]
             found = np.unique(np.concatenate([found, new])) if len(new) else found
@@ -305,10 +341,9 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     few = (F.col("rare") < 0) | ((F.col("rare") + F.col("lead_rare")) * (100 + percent) <= (F.col("n") + F.col("lead_n")) * (100 - percent))
     fits = (F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent) & few
     tried = Cut(shared.where((F.col("ident") != F.col("lead")) & fits).select("ident", "n", "lead", "lead_n").distinct(), "tried").df
-    differ = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     one, two = parities.select("ident", F.col("parities").alias("a")), parities.select(F.col("ident").alias("lead"), F.col("parities").alias("b"))
-    near = tried.join(one, "ident").join(two, "lead").where(differ * (100 + percent) <= (F.col("n") + F.col("lead_n")) * (100 - percent))
-    links = _verified(near.select("ident", "lead"), docs, lowest, k, percent)
+    near = tried.join(one, "ident").join(two, "lead").select("ident", "n", "lead", "lead_n", "a", "b")
+    links = _verified(near.mapInArrow(lambda it: _near_pairs(it, percent), "ident long, lead long"), docs, lowest, k, percent)
     label = components(links)
 
     # What is left: sets that share a signature but lie in different components, as far as the leaders tell.
