@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quantisation, bpe, jaccard_join, language, mixing, near_vectors, quality
+from . import additive_quantisation, bpe, html_text, jaccard_join, language, licences, mixing, near_vectors, quality
 from .common import crc_mod, read
 
 
@@ -34,6 +34,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, network, [F.col("doc_id"), held_out.alias("held_out")])
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive_quantisation.neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -42,13 +47,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_near_vectors, op3_quality, op4_language, op7_neighbours, op8_mixing, op10_jaccard)}
+    return {f.__name__: f for f in (op1_bpe, op2_near_vectors, op3_quality, op4_language, op5_html_text, op7_neighbours, op8_mixing, op9_licences, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_licences": licences.oracle()}
