@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quantisation, bpe, html_text, jaccard_join, language, licences, mixing, near_vectors, quality
+from . import additive_quantisation, bpe, html_text, jaccard_join, language, licences, mixing, near_vectors, quality, secrets
 from .common import crc_mod, read
 
 
@@ -39,6 +39,11 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secrets.fit(secrets.labelled_findings(spark))
+    return secrets.scan(read(spark, sf_dir, "documents"), forest)
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive_quantisation.neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -56,7 +61,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_near_vectors, op3_quality, op4_language, op5_html_text, op7_neighbours, op8_mixing, op9_licences, op10_jaccard)}
+    return {f.__name__: f for f in (op1_bpe, op2_near_vectors, op3_quality, op4_language, op5_html_text, op6_secrets, op7_neighbours, op8_mixing, op9_licences, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
