@@ -1,8 +1,73 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents through quality, near duplicates, secrets, mixing and tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's input.
+All stages but the last return the columns of ``documents``. Rows keep their order-free identity: copies of a row that
+the mix repeats are rows of their own.
+
+Defined results: null texts count as empty ones in every stage; an empty table passes through; columns beyond those of
+``documents`` are dropped by the first stage; rows with a null doc_id have no near duplicates and are kept.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from payloom.llm import bpe, jaccard_join, mixing, quality, secrets
+from payloom.llm.common import Cut, read
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neighbour votes score at 0.3 or more; labels are learned from all documents that have one."""
+    docs = docs.select(*COLUMNS)
+    model = quality.train(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    return quality.score(docs, model, [F.col(c) for c in COLUMNS]).where("score >= 0.3").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of 0.8 or more on five-word shingles connect: the one with the smallest id."""
+    found = jaccard_join.similar_components(docs.select("doc_id", "text"))
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the secrets in their texts masked, and n_chars as it is then."""
+    forest = secrets.fit(secrets.labelled_findings(spark))
+    masked = secrets.mask(docs, forest)
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: never, once or twice (rows that share a doc_id alike)."""
+    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).drop(taken["doc_id"])
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens and digests of the ids and of the bytes that they decode to."""
+    vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(docs.select("doc_id", "source", "text"), vocabulary)
+
+
+STAGES = [
+    ("quality", quality_filter),
+    ("near duplicates", near_duplicates),
+    ("secrets", secret_scan),
+    ("mixing", mix_sources),
+    ("tokens", tokens),
+]
+
+#: Training, random rounding and tokens have no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = Cut(stage(spark, docs, sf_dir), name.replace(" ", "_")).df
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -43,7 +43,7 @@ def _rest(pattern: str, token: Column) -> Column:
 
 def feature_columns(before: Column, token: Column, after: Column) -> list[tuple[str, Column]]:
     n = F.length(token).cast("double")
-    near = F.substring(before, -22, 22)
+    near = F.substring(before, -18, 18)
     share = lambda pattern: (n - _rest(pattern, token)) / n
     letters = (n - _rest("[A-Za-z]", token)).cast("double")
     changes = lambda a, b: F.size(F.split(token, f"(?<={a})(?={b})|(?<={b})(?={a})")) - 1
