@@ -38,6 +38,8 @@ from .shingles import _FACTORS, mix, set_identity, shingle_sets
 #: Buckets of the token counts, and bits of the filter for candidates: both bound what is broadcast (16 KB and 2 MB).
 COUNT_BUCKETS = 1 << 17
 FILTER_BITS = 1 << 24
+#: Shared signatures that a set names to tell where its pairs are handled.
+LEAST_SHARED = 8
 
 
 def _parities(tokens: np.ndarray) -> np.ndarray:
@@ -279,13 +281,18 @@ def _near_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
 
 def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Of the rows of a partition by signature: pairs of sets that share one, lie in different components and may be
-    similar by their sizes, rare tokens and parities; each pair once a task."""
+    similar by their sizes, rare tokens and parities. A pair is left to a smaller signature where both sets name it among
+    their smallest shared ones; each pair once a task."""
     table = pa.Table.from_batches(batches)
     if not len(table):
         return
     table = table.sort_by("sig").combine_chunks()
     sig, ident, n, rare, component = (table.column(c).to_numpy() for c in ("sig", "ident", "n", "rare", "component"))
     n, parities = n.astype(np.int64), _Parities(table.column("parities").combine_chunks())
+    least = table.column("least").combine_chunks()
+    width = least.value_lengths().to_numpy(zero_copy_only=False)
+    smallest = np.tile(sig[:, None], LEAST_SHARED)
+    smallest[np.arange(LEAST_SHARED) < width[:, None]] = least.flatten().to_numpy(zero_copy_only=False)
     start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     end = np.repeat(np.append(start[1:], len(sig)), np.diff(np.append(start, len(sig))))
     row, gap, found = np.arange(len(sig)), 0, np.zeros(0, [("u", np.int64), ("v", np.int64)])
@@ -294,13 +301,16 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         row = row[row + gap < end[row]]
         if not len(row) and not len(found):
             return
-        for a in range(0, len(row), 200_000):
-            i, j = row[a : a + 200_000], row[a : a + 200_000] + gap
+        for a in range(0, len(row), 100_000):
+            i, j = row[a : a + 100_000], row[a : a + 100_000] + gap
             both = n[i] + n[j]
             keep = (component[i] != component[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
             keep &= (rare[i] < 0) | ((rare[i] + rare[j]) * (100 + percent) <= both * (100 - percent))
             i, j, both = i[keep], j[keep], both[keep]
             near = parities.differ(i, j) * (100 + percent) <= both * (100 - percent)
+            i, j = i[near], j[near]
+            both_name = (smallest[i][:, :, None] == smallest[j][:, None, :]) & (smallest[i] < sig[i][:, None])[:, :, None]
+            near = ~both_name.any(axis=(1, 2))
             new = np.zeros(int(near.sum()), found.dtype)
             new["u"], new["v"] = np.minimum(ident[i], ident[j])[near], np.maximum(ident[i], ident[j])[near]
             found = np.unique(np.concatenate([found, new])) if len(new) else found
@@ -350,7 +360,9 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     named = shared.select("sig", "ident", "n", "rare").join(label.withColumnRenamed("node", "ident"), "ident", "left").withColumn("component", F.coalesce("component", "ident"))
     named = Cut(named, "named").df
     open_sigs = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    left = named.join(open_sigs, "sig").join(parities, "ident").select("sig", "ident", "n", "rare", "component", "parities")
+    left = named.join(open_sigs, "sig").withColumn("single", F.col("rare") < 0)
+    least = left.groupBy("ident", "single").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LEAST_SHARED).alias("least"))
+    left = left.join(parities.join(least, "ident"), ["ident", "single"]).select("sig", "ident", "n", "rare", "component", "parities", "least")
     rest = left.repartition("sig").mapInArrow(lambda it: _open_pairs(it, percent), "ident long, lead long").distinct()
     known = tried.select(F.least("ident", "lead").alias("ident"), F.greatest("ident", "lead").alias("lead"))
     more = _verified(rest.join(known, ["ident", "lead"], "left_anti"), docs, lowest, k, percent)
