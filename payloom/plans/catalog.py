@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from payloom.plans import documents, matching, money
+from payloom.plans.register import ORACLES, QUERIES
+
+__all__ = ["documents", "matching", "money"]
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
