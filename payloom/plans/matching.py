@@ -1 +1,202 @@
+"""Queries over duplicates, purchase orders, validation, risk and workflow."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from payloom.functions import scalar as S
+from payloom.operators import matching as X
+from payloom.operators import rules as R
+from payloom.plans.register import query
+from payloom.sources import views as V
+from payloom.sources.views import AS_OF, with_views
+
+#: A GSTIN takes part in a fingerprint; numbers of a vendor recur every seven orders, and totals are coarse so that some agree.
+_PRINTS = """, fp as (select i.*, v.gstin, regexp_replace(lower(invoice_number), '[^a-z0-9]+', '', 'g') as number_key, case when v.gstin is not null and invoice_date is not null and grand_total is not null
+then sha256(upper(v.gstin) || '|' || regexp_replace(lower(invoice_number), '[^a-z0-9]+', '', 'g') || '|' || cast(invoice_date as varchar) || '|' || cast(grand_total as varchar)) end as fingerprint from (select * replace (date '2000-01-01' as invoice_date, cast(floor(grand_total / 100000) * 100000 as decimal(18,2)) as grand_total) from invoices) i
+left join vendors v on v.tenant_id = i.tenant_id and v.vendor_id = i.vendor_id)"""
+
+
+def _printed(spark, d):
+    coarse = V.invoices(spark, d).withColumn("invoice_date", F.lit("2000-01-01").cast("date")).withColumn("grand_total", (F.floor(F.col("grand_total") / 100000) * 100000).cast(V.MONEY))
+    return X.with_fingerprint(coarse, V.vendors(spark, d))
+
+
+@query(with_views("invoices vendors", _PRINTS + " select invoice_id, fingerprint, number_key from fp"))
+def fingerprints(spark, d):
+    return _printed(spark, d).select("invoice_id", "fingerprint", "number_key")
+
+
+_PRIOR = "order by created_at, invoice_id rows between unbounded preceding and 1 preceding"
+
+
+@query(with_views("invoices vendors", _PRINTS + f""", w as (select *, case when status <> 'rejected' then invoice_id end as valid from fp),
+x as (select *, case when fingerprint is not null then first_value(valid ignore nulls) over (partition by tenant_id, fingerprint {_PRIOR}) end as by_print, first_value(valid ignore nulls) over (partition by tenant_id, vendor_id, number_key {_PRIOR}) as any_,
+first_value(case when fingerprint is null then valid end ignore nulls) over (partition by tenant_id, vendor_id, number_key {_PRIOR}) as bare from w),
+y as (select *, case when number_key <> '' then case when fingerprint is null then any_ else bare end end as by_number from x)
+select invoice_id, coalesce(by_print, by_number) as duplicate_of, case when by_print is not null then 'sha256_fingerprint' when by_number is not null then 'vendor_number' end as match_type, case when coalesce(by_print, by_number) is null and number_key <> '' then any_ end as repeat_of from y"""))
+def duplicates(spark, d):
+    return X.duplicates(_printed(spark, d)).select("invoice_id", "duplicate_of", "match_type", "repeat_of")
+
+
+_COUNTED = "case when status not in ('rejected', 'duplicate') and grand_total > 0 then cast(grand_total as double) end"
+
+
+@query(with_views("invoices", f""", x as (select *, round(avg({_COUNTED}) over (partition by tenant_id, vendor_id {_PRIOR}), 6) as historical_average from invoices)
+select invoice_id, historical_average, coalesce(cast(grand_total as double) >= 3 * historical_average and cast(grand_total as double) - historical_average >= 1000, false) as amount_anomaly from x"""))
+def amount_anomalies(spark, d):
+    return X.anomalies(V.invoices(spark, d)).select("invoice_id", "historical_average", "amount_anomaly")
+
+
+@query(with_views("invoices", f""", w as (select *, {_COUNTED} as counted from invoices), x as (select *, (sum(counted) over p - coalesce(counted, 0)) / nullif(count(counted) over p - (counted is not null)::int, 0) as a from w window p as (partition by tenant_id, vendor_id)), y as (select *, round(a, 6) as h from x)
+select invoice_id, round(h, 5) as average_5, coalesce(cast(grand_total as double) >= 3 * h and cast(grand_total as double) - h >= 1000, false) as amount_anomaly from y"""))
+def amount_anomalies_again(spark, d):
+    return X.anomalies(V.invoices(spark, d), reproject=True).select("invoice_id", F.round("historical_average", 5).alias("average_5"), "amount_anomaly")
+
+
+_RECORDS = """, r as (select o_orderkey as record_id, 't' || (o_custkey % 4) as tenant_id, case when o_orderkey % 3 = 0 then 'customer ' || lpad(cast(o_custkey as varchar), 9, '0') when o_orderkey % 3 = 1 then 'Unknown ' || o_custkey else upper(v.name) end as name,
+case when o_orderkey % 4 = 0 then lower(v.gstin) when o_orderkey % 4 = 1 then '99XXXXX0000X1Z0' end as gstin from orders join vendors v on v.vendor_id = o_custkey)"""
+
+
+def _records(spark, d):
+    o, v = V.table(spark, d, "orders"), V.vendors(spark, d).select("vendor_id", "name", "gstin")
+    k = F.col("o_orderkey") % 3
+    name = F.when(k == 0, F.concat(F.lit("customer "), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))).when(k == 1, F.concat(F.lit("Unknown "), F.col("o_custkey").cast("string"))).otherwise(F.upper("name"))
+    tax = F.when(F.col("o_orderkey") % 4 == 0, F.lower("gstin")).when(F.col("o_orderkey") % 4 == 1, "99XXXXX0000X1Z0")
+    return o.join(v, F.col("o_custkey") == F.col("vendor_id")).select(F.col("o_orderkey").alias("record_id"), F.concat(F.lit("t"), (F.col("o_custkey") % 4).cast("string")).alias("tenant_id"), name.alias("name"), tax.alias("gstin"))
+
+
+@query(with_views("vendors", _RECORDS + """, k as (select *, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') as key from r),
+g as (select tenant_id, upper(gstin) as g, min(vendor_id) as by_gstin from vendors where gstin is not null group by 1, 2), n as (select tenant_id, normalized_name as key, min(vendor_id) as by_name, min_by(gstin, vendor_id) as known from vendors where normalized_name <> '' group by 1, 2)
+select record_id, coalesce(by_gstin, by_name) as vendor_id, case when by_gstin is not null then 'gstin' when by_name is not null then 'name' else 'new' end as resolved_by, coalesce(by_gstin is null and by_name is not null and upper(gstin) <> upper(known), false) as gstin_mismatch
+from k left join g on g.tenant_id = k.tenant_id and g.g = upper(k.gstin) left join n on n.tenant_id = k.tenant_id and n.key = k.key"""))
+def vendor_resolve(spark, d):
+    return X.resolve_vendors(_records(spark, d), V.vendors(spark, d))
+
+
+@query("""with r as (select 't' || (o_custkey % 4) as tenant_id, o_custkey as vendor_id, o_orderdate as made, o_orderkey as id, case when o_orderkey % 2 = 0 then 'Name ' || o_orderkey end as name, case when o_orderkey % 5 = 0 then 'm' || o_orderkey || '@x.example' end as email, case when o_orderkey % 3 = 0 then 'B' || o_orderkey end as bank from orders)
+select tenant_id, vendor_id, last(name order by made, id) filter (where name is not null) as name, last(email order by made, id) filter (where email is not null) as email, first(bank order by made, id) filter (where bank is not null) as bank_account from r group by 1, 2""")
+def vendor_attributes(spark, d):
+    o, k = V.table(spark, d, "orders"), F.col("o_orderkey")
+    text = lambda n, a, b="": F.when(k % n == 0, F.concat(F.lit(a), k.cast("string"), F.lit(b)))
+    return X.vendor_attributes(o.select(F.concat(F.lit("t"), (F.col("o_custkey") % 4).cast("string")).alias("tenant_id"), F.col("o_custkey").alias("vendor_id"), F.col("o_orderdate").alias("created_at"), k.alias("record_id"), text(2, "Name ").alias("name"), text(5, "m", "@x.example").alias("email"), text(3, "B").alias("bank_account")))
+
+
+_PLACED = """, ii as (select *, regexp_replace(lower(description), '[^a-z0-9]+', '', 'g') as key, row_number() over (partition by invoice_id, regexp_replace(lower(description), '[^a-z0-9]+', '', 'g') order by pos) as place from invoice_items),
+pp as (select *, regexp_replace(lower(description), '[^a-z0-9]+', '', 'g') as key, row_number() over (partition by po_id, regexp_replace(lower(description), '[^a-z0-9]+', '', 'g') order by pos) as place from purchase_order_items),
+known as (select i.*, p.po_id, p.vendor_id as po_vendor, p.currency as po_currency, p.total as po_total from invoices i left join purchase_orders p on p.tenant_id = i.tenant_id and lower(p.number) = lower(i.po_number)),
+a as (select ii.*, po_id from ii join known on known.invoice_id = ii.invoice_id where po_id is not null), b as (select pp.*, invoice_id from pp join known on known.po_id = pp.po_id),
+pair as (select coalesce(a.invoice_id, b.invoice_id) as invoice_id, a.pos as item_pos, b.pos as po_pos, a.quantity as q, b.quantity as po_q, a.unit_price as price, b.unit_price as po_price, a.gst_rate as rate, b.tax_rate as po_rate from a full join b on a.invoice_id = b.invoice_id and a.key = b.key and a.place = b.place)"""
+_PO_VIEWS = "invoices invoice_items purchase_orders purchase_order_items goods_receipt_items"
+
+
+@query(with_views(_PO_VIEWS, _PLACED + " select invoice_id, item_pos, po_pos from pair"))
+def po_pairing(spark, d):
+    i, p = V.invoices(spark, d), V.purchase_orders(spark, d)
+    matched = i.withColumn("k", F.lower("po_number")).join(p.select("tenant_id", F.lower("number").alias("k"), "po_id"), ["tenant_id", "k"]).select("invoice_id", "po_id")
+    return X.pairing(V.invoice_items(spark, d), V.purchase_order_items(spark, d), matched).select("invoice_id", "item_pos", "po_pos")
+
+
+@query(with_views(_PO_VIEWS, """ select po_id, pos, cast(sum(quantity_received) as decimal(18,4)) as received from goods_receipt_items group by 1, 2"""))
+def receipt_totals(spark, d):
+    return V.goods_receipt_items(spark, d).groupBy("po_id", "pos").agg(F.sum("quantity_received").cast(V.QUANTITY).alias("received"))
+
+
+_MATCH = _PLACED + """, lines as (select invoice_id, bool_or(po_pos is null) as not_on_po, coalesce(bool_or(q > po_q), false) as over_, coalesce(bool_or(q < po_q), false) as under_, coalesce(bool_or(abs(price - po_price) > 0.01), false) as price_differs, coalesce(bool_or(abs(rate - po_rate) > 0.01), false) as rate_differs, bool_or(item_pos is null) as unbilled from pair group by 1),
+got as (select po_id, pos, sum(quantity_received) as received from goods_receipt_items group by 1, 2), over_po as (select p.po_id, bool_or(received > quantity + 0.0001) as x from purchase_order_items p join got on got.po_id = p.po_id and got.pos = p.pos group by 1),
+over_got as (select a.invoice_id, bool_or(a.quantity > coalesce(received, 0) + 0.0001) as x from a join pp on pp.po_id = a.po_id and pp.key = a.key and pp.place = 1 left join got on got.po_id = pp.po_id and got.pos = pp.pos group by 1),
+m as (select k.*, k.po_id in (select po_id from got) as three, coalesce(over_po.x, false) as received_over, coalesce(over_got.x, false) as billed_over, coalesce(not_on_po, false) as not_on_po, coalesce(over_, false) as over_, coalesce(under_, false) as under_, coalesce(price_differs, false) as price_differs, coalesce(rate_differs, false) as rate_differs, coalesce(unbilled, false) as unbilled
+from known k left join lines on lines.invoice_id = k.invoice_id left join over_po on over_po.po_id = k.po_id left join over_got on over_got.invoice_id = k.invoice_id),
+reasons as (select *, array_to_string(list_filter([case when coalesce(po_vendor <> vendor_id, false) then 'vendor' end, case when upper(coalesce(currency, 'INR')) <> upper(coalesce(po_currency, 'INR')) then 'currency' end, case when not_on_po then 'not_on_po' end, case when over_ then 'quantity' end, case when price_differs then 'price' end, case when rate_differs then 'tax_rate' end,
+case when three and received_over then 'received_over' end, case when three and billed_over then 'billed_over' end, case when grand_total - po_total > 1 then 'total_over' end], lambda r: r is not null), ',') as r from m),
+verdicts as (select *, case when po_number is null then 'not_applicable' when po_id is null then 'mismatch' when r <> '' then 'mismatch' when grand_total - po_total < -1 or unbilled or under_ then 'partial' else 'matched' end as verdict from reasons)"""
+
+
+@query(with_views(_PO_VIEWS, _MATCH + """ select invoice_id, verdict, case when po_id is not null then case when three then 'three_way' else 'two_way' end end as mode, case when po_id is not null then r else '' end as reasons from verdicts"""))
+def po_match(spark, d):
+    return X.match_orders(V.invoices(spark, d), V.invoice_items(spark, d), V.purchase_orders(spark, d), V.purchase_order_items(spark, d), V.goods_receipt_items(spark, d))
+
+
+def _payload(spark, d):
+    i, v = V.invoices(spark, d), V.vendors(spark, d)
+    line = V.invoice_items(spark, d).groupBy("invoice_id").agg(F.sum("line_total").cast(V.MONEY).alias("subtotal"), F.sum("discount").cast(V.MONEY).alias("discount_total"))
+    tax = V.invoice_taxes(spark, d).groupBy("invoice_id").agg(F.sum("amount").cast(V.MONEY).alias("tax_sum"), F.bool_or(F.col("tax_type") == "IGST").alias("has_igst"), F.bool_or(F.col("tax_type") == "CGST_SGST").alias("has_split"))
+    k = F.col("invoice_id")
+    x = i.join(v.select("tenant_id", "vendor_id", F.col("name").alias("vendor_name"), "gstin"), ["tenant_id", "vendor_id"], "left").join(line, "invoice_id", "left").join(tax, "invoice_id", "left")
+    total = F.when(k % 3 == 0, F.col("subtotal") - F.col("discount_total") + F.col("tax_sum")).when(k % 40 != 1, F.col("grand_total"))
+    return x.select(
+        k, F.when(k % 37 != 0, F.col("invoice_number")).alias("invoice_number"), "vendor_name", total.cast(V.MONEY).alias("grand_total"), "subtotal", "discount_total", "tax_sum", F.when(k % 4 == 0, F.col("tax_sum") + 2).when(k % 4 == 1, F.col("tax_sum")).cast(V.MONEY).alias("tax_total"), F.lit(None).cast(V.MONEY).alias("shipping"),
+        F.when(k % 41 == 0, F.date_add("invoice_date", 3000)).otherwise(F.col("invoice_date")).alias("invoice_date"), F.when(k % 43 == 0, F.date_add("invoice_date", -2)).when(k % 7 != 0, F.col("due_date")).alias("due_date"), "gstin", F.when(k % 3 == 0, F.concat(F.lit("abcde"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("f"))).when(k % 3 == 1, "BADPAN").alias("pan"),
+        "has_igst", "has_split", F.when(k % 9 == 0, "XYZ").otherwise(F.col("currency")).alias("currency"),
+    )
+
+
+_SUM36 = " + ".join(f"(p{i} // 36 + p{i} % 36)" for i in range(14))
+_P = ", ".join(f"(strpos('{S.ALPHABET}', substr(gstin, {i + 1}, 1)) - 1) * {1 + i % 2} as p{i}" for i in range(14))
+_PAYLOAD = f""", l as (select invoice_id, cast(sum(line_total) as decimal(18,2)) as subtotal, cast(sum(discount) as decimal(18,2)) as discount_total from invoice_items group by 1), t as (select invoice_id, cast(sum(amount) as decimal(18,2)) as tax_sum, bool_or(tax_type = 'IGST') as has_igst, bool_or(tax_type = 'CGST_SGST') as has_split from invoice_taxes group by 1),
+pay as (select i.invoice_id, case when i.invoice_id % 37 <> 0 then invoice_number end as invoice_number, name as vendor_name, case when i.invoice_id % 3 = 0 then subtotal - discount_total + tax_sum when i.invoice_id % 40 <> 1 then grand_total end as grand_total, subtotal, discount_total, tax_sum,
+case i.invoice_id % 4 when 0 then tax_sum + 2 when 1 then tax_sum end as tax_total, case when i.invoice_id % 41 = 0 then invoice_date + 3000 else invoice_date end as invoice_date, case when i.invoice_id % 43 = 0 then invoice_date - 2 when i.invoice_id % 7 <> 0 then due_date end as due_date, gstin,
+case i.invoice_id % 3 when 0 then 'ABCDE' || lpad(cast(i.invoice_id % 10000 as varchar), 4, '0') || 'F' when 1 then 'BADPAN' end as pan, has_igst, has_split, case when i.invoice_id % 9 = 0 then 'XYZ' else currency end as currency
+from invoices i left join vendors v on v.tenant_id = i.tenant_id and v.vendor_id = i.vendor_id left join l on l.invoice_id = i.invoice_id left join t on t.invoice_id = i.invoice_id),
+sums as (select *, {_P} from pay), checked as (select *, length(gstin) = 15 and (36 - ({_SUM36}) % 36) % 36 = strpos('{S.ALPHABET}', substr(gstin, 15, 1)) - 1 as sum_ok from sums),
+e as (select *, subtotal - discount_total + coalesce(tax_sum, tax_total, 0) as expected, date '{AS_OF}' + 365 as lim from checked),
+flag as (select invoice_id, 'required_fields' as rule, 'error' as severity, not (coalesce(trim(invoice_number), '') = '' or coalesce(trim(vendor_name), '') = '' or grand_total is null) as passed from e
+union all select invoice_id, 'arithmetic', 'warning', abs(grand_total - expected) <= 1 from e where grand_total is not null and subtotal is not null
+union all select invoice_id, 'date_order', 'warning', invoice_date <= due_date from e where due_date is not null
+union all select invoice_id, 'date_future', 'warning', false from e where invoice_date > lim
+union all select invoice_id, 'date_sanity', 'info', true from e where due_date is null and invoice_date <= lim
+union all select invoice_id, 'gstin', 'warning', sum_ok and regexp_matches(gstin, '{S.GSTIN}') and cast(substr(gstin, 1, 2) as integer) between 1 and 37 from e where gstin is not null
+union all select invoice_id, 'pan', 'warning', regexp_matches(pan, '{S.PAN}') from e where pan is not null
+union all select invoice_id, 'gst_mode_consistency', 'warning', false from e where has_igst and has_split
+union all select invoice_id, 'tax_total', 'warning', abs(tax_sum - tax_total) <= 1 from e where tax_sum is not null and tax_total is not null
+union all select invoice_id, 'currency', 'warning', upper(coalesce(currency, '')) in {R.CURRENCIES!r} from e)"""
+_PAY_VIEWS = "invoices vendors invoice_items invoice_taxes"
+
+
+@query(with_views(_PAY_VIEWS, _PAYLOAD + " select invoice_id, rule, passed, severity from flag"))
+def validations(spark, d):
+    return R.validations(_payload(spark, d))
+
+
+@query(with_views(_PAY_VIEWS, _PAYLOAD + """, p as (select invoice_id, round(least(1.0, 0.6 * 0.9 + 0.2 * 0.8 + 0.2 * (count(*) filter (passed) / count(*))), 3) as confidence from flag group by 1) select invoice_id, confidence from p"""))
+def composite_confidence(spark, d):
+    share = R.validations(_payload(spark, d)).groupBy("invoice_id").agg((F.count_if("passed") / F.count("*")).alias("share"))
+    return share.select("invoice_id", S.composite_confidence(F.lit(0.9), F.lit(0.8), F.col("share")).alias("confidence"))
+
+
+_RISK = _PAYLOAD + f""", x as (select invoice_id, invoice_id % 11 = 0 as is_duplicate, invoice_id % 13 = 0 as unknown_vendor, invoice_id % 17 = 0 as gstin_mismatch, invoice_id % 19 = 0 as bank_changed, case invoice_id % 5 when 0 then 'mismatch' when 1 then 'partial' else 'matched' end as verdict, invoice_id % 23 = 0 as anomaly, grand_total * 4 as grand_total from invoices),
+f as (select invoice_id, sum(case rule when 'required_fields' then 25 when 'arithmetic' then 10 when 'tax_total' then 10 when 'gstin' then 10 when 'pan' then 10 else 5 end) as points from flag where not passed group by 1),
+s as (select x.invoice_id, cast(least(100, is_duplicate::int * 40 + unknown_vendor::int * 15 + gstin_mismatch::int * 20 + bank_changed::int * 25 + (verdict in ('mismatch', 'partial'))::int * 15 + anomaly::int * 10 + (grand_total >= 1000000)::int * 10 + coalesce(points, 0)) as integer) as score from x left join f on f.invoice_id = x.invoice_id)"""
+
+
+@query(with_views(_PAY_VIEWS, _RISK + " select invoice_id, score, case when score >= 50 then 'high' when score >= 20 then 'medium' else 'low' end as level from s"))
+def risk_score(spark, d):
+    k = F.col("invoice_id")
+    verdict = F.when(k % 5 == 0, "mismatch").when(k % 5 == 1, "partial").otherwise("matched")
+    x = V.invoices(spark, d).select("invoice_id", (k % 11 == 0).alias("is_duplicate"), (k % 13 == 0).alias("unknown_vendor"), (k % 17 == 0).alias("gstin_mismatch"), (k % 19 == 0).alias("bank_changed"), verdict.alias("verdict"), (k % 23 == 0).alias("amount_anomaly"), (F.col("grand_total") * 4).alias("grand_total"))
+    return R.risk(x, R.validations(_payload(spark, d)).where("not passed").select("invoice_id", "rule"))
+
+
+_ACTIONS = list(R.STEPS)
+
+
+@query(with_views("invoices", f""", x as (select *, {_ACTIONS!r}[cast(invoice_id % 7 + 1 as integer)] as action, invoice_id % 6 = 0 as has_error, case when invoice_id % 8 = 0 then 'mismatch' else 'matched' end as verdict from invoices),
+y as (select *, case """ + " ".join(f"when action = '{n}' and status in ({', '.join(map(repr, b))}) then '{a}'".replace(",)", ")") for n, (b, a) in R.STEPS.items()) + """ end as to_, action = 'approve' and (has_error or risk_level = 'high' or verdict = 'mismatch') as blocked from x)
+select invoice_id, action, case when to_ is not null and not blocked then to_ else status end as status, case when to_ is null then 'not allowed from this status' when blocked then 'blocked by checks' end as refused from y"""))
+def workflow_step(spark, d):
+    k = F.col("invoice_id")
+    x = V.invoices(spark, d).withColumn("action", F.element_at(F.array(*map(F.lit, _ACTIONS)), (k % 7 + 1).cast("int"))).withColumn("has_error", k % 6 == 0).withColumn("verdict", F.when(k % 8 == 0, "mismatch").otherwise("matched")).withColumn("override", F.lit(False))
+    return R.apply_action(x)
+
+
+@query()
+def workflow_fold(spark, d):
+    e = V.table(spark, d, "events")
+    log = e.select(F.col("user_id").alias("invoice_id"), F.struct("ts", "event_id").alias("at"), F.element_at(F.array(*map(F.lit, _ACTIONS)), (F.col("event_id") * 13 % 7 + 1).cast("int")).alias("action"))
+    return R.fold_actions(log)
+
+
+@query(with_views("invoices payments", """ , p as (select invoice_id, list(amount order by amount) as a from payments group by 1), f as (select i.invoice_id, list_reduce(list_prepend(cast(grand_total as decimal(18,2)), a), lambda x, y: cast(case when y > 0 and y <= x then x - y else x end as decimal(18,2))) as outstanding from invoices i join p on p.invoice_id = i.invoice_id)
+select invoice_id, outstanding, case when outstanding = 0 then 'paid' else 'awaiting_payment' end as status from f"""))
+def payment_fold(spark, d):
+    return R.fold_payments(V.invoices(spark, d), V.payments(spark, d)).select("invoice_id", "outstanding", "status")
