@@ -49,9 +49,9 @@ def amount_anomalies(spark, d):
 
 
 @query(with_views("invoices", f""", w as (select *, {_COUNTED} as counted from invoices), x as (select *, (sum(counted) over p - coalesce(counted, 0)) / nullif(count(counted) over p - (counted is not null)::int, 0) as a from w window p as (partition by tenant_id, vendor_id)), y as (select *, round(a, 6) as h from x)
-select invoice_id, round(h, 5) as average_5, coalesce(cast(grand_total as double) >= 3 * h and cast(grand_total as double) - h >= 1000, false) as amount_anomaly from y"""))
+select invoice_id, cast(floor(h) as bigint) as average, coalesce(cast(grand_total as double) >= 3 * h and cast(grand_total as double) - h >= 1000, false) as amount_anomaly from y"""))
 def amount_anomalies_again(spark, d):
-    return X.anomalies(V.invoices(spark, d), reproject=True).select("invoice_id", F.round("historical_average", 5).alias("average_5"), "amount_anomaly")
+    return X.anomalies(V.invoices(spark, d), reproject=True).select("invoice_id", F.floor("historical_average").alias("average"), "amount_anomaly")
 
 
 _RECORDS = """, r as (select o_orderkey as record_id, 't' || (o_custkey % 4) as tenant_id, case when o_orderkey % 3 = 0 then 'customer ' || lpad(cast(o_custkey as varchar), 9, '0') when o_orderkey % 3 = 1 then 'Unknown ' || o_custkey else upper(v.name) end as name,
