@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,8 +69,6 @@ def invoice_date(x: Column, forms: tuple[str, ...] = DATE_FORMS) -> Column:
 
 def date_tail(x: Column) -> Column:
     """F-28, F-29: free forms, day first, by an Arrow function for the few texts that no form reads."""
-    import pandas as pd
-
     @F.pandas_udf("date")
     def parsed(texts: pd.Series) -> pd.Series:
         from dateutil import parser

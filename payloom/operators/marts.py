@@ -80,7 +80,7 @@ def invoice_trend(invoices: DataFrame) -> DataFrame:
 def monthly_rollup(invoices: DataFrame) -> DataFrame:
     """A-18: the daily trend by month; confidences are the plain mean of daily means."""
     day = invoice_trend(invoices)
-    return day.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(F.sum("invoices").alias("invoices"), F.round(F.avg("avg_confidence"), 4).alias("avg_confidence"))
+    return day.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(F.sum("invoices").alias("invoices"), F.round(F.avg("avg_confidence"), 8).alias("avg_confidence"))
 
 
 def vendor_list(vendors: DataFrame, invoices: DataFrame, search: str | None = None) -> DataFrame:

@@ -205,7 +205,7 @@ def _words(spark, d):
     return x.select("doc_id", F.floor(line / 50).cast("int").alias("page"), "text", ((F.col("i") % 12) * 80).cast("int").alias("x"), ((line % 50) * 30 + (F.col("i") * 7 % 9)).cast("int").alias("y"), F.lit(70).alias("width"), F.lit(12).alias("height"))
 
 
-@query("""with w as (select doc_id, unnest(string_split_regex(trim(text), '\s+')) as word, generate_subscripts(string_split_regex(trim(text), '\s+'), 1) - 1 as i from documents)
+@query("""with w as (select doc_id, unnest(string_split_regex(trim(text), '\\s+')) as word, generate_subscripts(string_split_regex(trim(text), '\\s+'), 1) - 1 as i from documents)
 select doc_id, cast(i // 600 as integer) as page, cast(i // 12 % 50 as integer) as line_no, string_agg(word, ' ' order by i) as text from w group by 1, 2, 3""")
 def word_lines(spark, d):
     return X.lines(_words(spark, d))

@@ -54,7 +54,7 @@ def invoice_trend(spark, d):
 
 
 @query(with_views("invoices", """, day as (select cast(created_at as date) as day, count(*) as invoices, round(avg(confidence), 3) as avg_confidence from invoices group by 1)
-select strftime(day, '%Y-%m') as month, cast(sum(invoices) as bigint) as invoices, round(avg(avg_confidence), 4) as avg_confidence from day group by 1"""))
+select strftime(day, '%Y-%m') as month, cast(sum(invoices) as bigint) as invoices, round(avg(avg_confidence), 8) as avg_confidence from day group by 1"""))
 def monthly_rollup(spark, d):
     return M.monthly_rollup(V.invoices(spark, d))
 
