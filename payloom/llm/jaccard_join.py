@@ -40,6 +40,8 @@ COUNT_BUCKETS = 1 << 17
 FILTER_BITS = 1 << 24
 #: Shared signatures that a set names to tell where its pairs are handled.
 LEAST_SHARED = 8
+#: Words of parities that go with every shared signature; a longer set's are folded to so many there.
+SHORT_WORDS = 16
 
 
 def _parities(tokens: np.ndarray) -> np.ndarray:
@@ -51,6 +53,12 @@ def _parities(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _folded(bits: np.ndarray) -> np.ndarray:
+    while len(bits) > SHORT_WORDS:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 class _Parities:
     """Parities of many sets, comparable in bulk: for each width, those of that width and those of twice as many bits."""
 
@@ -82,21 +90,20 @@ def _first_pass(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
     """A row for each document (doc_id, n, ident, and once a task and ident parities), and the counts of this task's
     distinct tokens by bucket."""
     counts, seen = np.zeros(COUNT_BUCKETS, np.int64), set()
-    names = ["doc_id", "n", "ident", "parities", "bucket", "count"]
+    names = ["doc_id", "n", "ident", "parities", "short", "bucket", "count"]
 
     def add(tokens):
         np.add(counts, np.bincount((np.concatenate(tokens) & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64), minlength=COUNT_BUCKETS), out=counts)
 
     for batch in batches:
-        sizes, idents, tokens, held, bits, lengths = [], [], [], 0, [], []
+        sizes, idents, tokens, held, bits = [], [], [], 0, []
         for _, found in shingle_sets(batch.column(1), k):
             ident = set_identity(found)
             sizes.append(len(found))
             idents.append(ident)
             if fresh := len(found) > 0 and ident not in seen:
                 seen.add(ident)
-                bits.append(_parities(found))
-            lengths.append(len(bits[-1]) if fresh else 0)
+            bits.append(_parities(found) if fresh else np.zeros(0, np.int64))
             tokens.append(found)
             held += len(found)
             if held > 1_000_000:
@@ -105,15 +112,14 @@ def _first_pass(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
         if tokens:
             add(tokens)
         none = pa.nulls(len(sizes), pa.int64())
-        ends = np.zeros(len(sizes) + 1, np.int32)
-        np.cumsum(lengths, out=ends[1:])
-        parities = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(idents, pa.int64()), parities, none, none], names)
+        wide, short = (pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (bits, [_folded(x) for x in bits]))
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(idents, pa.int64()), wide, short, none, none], names)
     full = np.flatnonzero(counts)
     for i in range(0, len(full), 50_000):
         part = full[i : i + 50_000]
         none = pa.nulls(len(part), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(part), pa.list_(pa.int64())), pa.array(part), pa.array(counts[part])], names)
+        lists = pa.nulls(len(part), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([none, none, none, lists, lists, pa.array(part), pa.array(counts[part])], names)
 
 
 class Signatures:
@@ -337,9 +343,10 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     reach, where documents link if their sets of k-word shingles have a Jaccard similarity of ``percent`` hundredths."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = Cut(docs.mapInArrow(lambda it: _first_pass(it, k), "doc_id long, n long, ident long, parities array<long>, bucket long, count long"), "first").df
+    first = Cut(docs.mapInArrow(lambda it: _first_pass(it, k), "doc_id long, n long, ident long, parities array<long>, short array<long>, bucket long, count long"), "first").df
     each = first.where("n is not null").select("doc_id", "n", "ident")
-    parities = first.where("size(parities) > 0").select("ident", "parities").dropDuplicates(["ident"])
+    parities = first.where("size(parities) > 0").select("ident", "n", "parities").dropDuplicates(["ident"])
+    short = first.where("size(parities) > 0").select("ident", F.col("short").alias("parities")).dropDuplicates(["ident"])
     lowest = Cut(each.where("n > 0 and doc_id is not null").groupBy("ident").agg(F.min("doc_id").alias("low")), "lowest").df
     heavy = _heavy_buckets(first.where("bucket is not null"), spark)
     docs = docs.where("doc_id is not null")
@@ -351,9 +358,13 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     few = (F.col("rare") < 0) | ((F.col("rare") + F.col("lead_rare")) * (100 + percent) <= (F.col("n") + F.col("lead_n")) * (100 - percent))
     fits = (F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent) & few
     tried = Cut(shared.where((F.col("ident") != F.col("lead")) & fits).select("ident", "n", "lead", "lead_n").distinct(), "tried").df
-    one, two = parities.select("ident", F.col("parities").alias("a")), parities.select(F.col("ident").alias("lead"), F.col("parities").alias("b"))
-    near = tried.join(one, "ident").join(two, "lead").select("ident", "n", "lead", "lead_n", "a", "b")
-    links = _verified(near.mapInArrow(lambda it: _near_pairs(it, percent), "ident long, lead long"), docs, lowest, k, percent)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        one, two = parities.select("ident", "n", F.col("parities").alias("a")), parities.select(F.col("ident").alias("lead"), F.col("n").alias("lead_n"), F.col("parities").alias("b"))
+        both = pairs.select("ident", "lead").join(one, "ident").join(two, "lead").select("ident", "n", "lead", "lead_n", "a", "b")
+        return both.mapInArrow(lambda it: _near_pairs(it, percent), "ident long, lead long")
+
+    links = _verified(near(tried), docs, lowest, k, percent)
     label = components(links)
 
     # What is left: sets that share a signature but lie in different components, as far as the leaders tell.
@@ -362,10 +373,10 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     open_sigs = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
     left = named.join(open_sigs, "sig").withColumn("single", F.col("rare") < 0)
     least = left.groupBy("ident", "single").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LEAST_SHARED).alias("least"))
-    left = left.join(parities.join(least, "ident"), ["ident", "single"]).select("sig", "ident", "n", "rare", "component", "parities", "least")
+    left = left.join(short.join(least, "ident"), ["ident", "single"]).select("sig", "ident", "n", "rare", "component", "parities", "least")
     rest = left.repartition("sig").mapInArrow(lambda it: _open_pairs(it, percent), "ident long, lead long").distinct()
     known = tried.select(F.least("ident", "lead").alias("ident"), F.greatest("ident", "lead").alias("lead"))
-    more = _verified(rest.join(known, ["ident", "lead"], "left_anti"), docs, lowest, k, percent)
+    more = _verified(near(rest.join(known, ["ident", "lead"], "left_anti")), docs, lowest, k, percent)
     if not more.isEmpty():
         label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
