@@ -34,6 +34,8 @@ BOOKS, WORDS, BEAM = 8, 256, 8
 BLOCK, QUERIES = 4096, 1024
 #: Share of a block that is ranked by exact distances, and its least number of rows.
 SHORTLIST, SHORTLIST_LEAST = 1 / 10, 64
+#: Components beyond this are cut to it in approximations, so that squares stay finite; exact distances use them whole.
+MOST = 1e15
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -50,6 +52,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
     """Codes (rows, M) by beam search: a partial sum s scores |s|^2 - 2 x s, kept by products of codewords."""
     many, words, _ = books.shape
+    x = np.clip(x, -MOST, MOST)
     flat = books.reshape(many * words, -1)
     gram, out = flat @ flat.T, []
     for start in range(0, len(x), 512):
@@ -78,7 +81,7 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
 def fit(x: np.ndarray, many: int = BOOKS, words: int = WORDS, rounds: int = 2, seed: int = 11) -> np.ndarray:
     """Codebooks (M, K, d) for the sample x."""
     rng = np.random.default_rng(seed)
-    x = x.astype(np.float32)
+    x = np.clip(x.astype(np.float32), -MOST, MOST)
     rest, books = x.copy(), []
     for _ in range(many):
         centres = _kmeans(rest, words, rng)
@@ -141,7 +144,7 @@ def _search(batches: Iterator[pa.RecordBatch], books, k: int) -> Iterator[pa.Rec
             q_ids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
             codes = np.frombuffer(row["codes"], np.uint8).reshape(many, -1).astype(np.intp)
             norms = np.frombuffer(row["norms"], np.float32)
-            tables = (-2 * queries @ flat.T).reshape(len(queries), many, words)
+            tables = (-2 * np.clip(queries, -MOST, MOST) @ flat.T).reshape(len(queries), many, words)
             short = min(len(ids), max(SHORTLIST_LEAST, k + 1, int(len(ids) * SHORTLIST)))
             exact = rows.astype(np.float64)
             out: list[tuple] = []

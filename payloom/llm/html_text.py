@@ -94,9 +94,9 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool, int]], dict[str,
         tag = m[3].lower()
         if m[2]:
             at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if tag in BLOCKS:
+            if tag in BLOCKS and (at or tag == "p"):
                 flush()
-            elif at and any(n.tag in BLOCKS for n in stack[at + 1 :]):
+            elif tag not in BLOCKS and at and any(n.tag in BLOCKS for n in stack[at + 1 :]):
                 continue
             if at:
                 pop_to(at)
