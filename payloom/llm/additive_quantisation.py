@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Cut
+from .common import Cut, smallest_hashes
 from .near_vectors import _matrix, usable
 
 #: Sample that codebooks are fitted on, codebooks, codewords of each, beam, rows of an index block and a query block.
@@ -170,7 +170,7 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id"
     if lengths is None:
         return empty
     good = good.where(F.size("vector") == lengths["n"])
-    sample = good.select(F.xxhash64("id").alias("h"), "vector").orderBy("h", "vector").limit(SAMPLE).toArrow()
+    sample = smallest_hashes(good.select(F.xxhash64("id").alias("h"), "vector"), "h", SAMPLE, "vector").toArrow()
     books = spark.sparkContext.broadcast(fit(_matrix(sample.column("vector").combine_chunks())))
 
     def task() -> int:

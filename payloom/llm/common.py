@@ -89,3 +89,11 @@ def utf8_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def crc_mod(doc_id: str, n: int):
     """crc32 of the id's decimal text, modulo n."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(n)
+
+
+def smallest_hashes(rows: DataFrame, h: str, limit: int, *ties: str) -> DataFrame:
+    """``limit`` rows at most, those with the smallest 64-bit hash ``h``. Of a large table only hashes below a bound that
+    three times as many rows are expected to keep are sorted, so that no task is sent what every partition's best rows sum to."""
+    if (n := rows.count()) > 4 * limit:
+        rows = rows.where(F.col(h) <= F.lit(int(-(2**63) + 2**64 * (3 * limit / n))))
+    return rows.orderBy(h, *ties).limit(limit)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8_of
+from .common import smallest_hashes, utf8_of
 
 #: Bound of the training sample in documents, bytes of a window, filter widths and filters of each width.
 TRAIN_DOCS, WINDOW, WIDTHS, FILTERS = 6000, 256, (2, 3, 4), 10
@@ -133,7 +133,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     rows = rows.select(h.alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     place = lambda salt, width: (F.pmod(F.xxhash64("h", F.lit(salt)), F.greatest(F.lit(1), F.length("text") - width)) + 1).cast("int")
     cut = rows.select("h", "lang", F.substr("text", place(1, WINDOW), F.lit(WINDOW)).alias("long"), F.substr("text", place(2, 40), F.lit(12) + F.pmod("h", F.lit(60)).cast("int")).alias("short"))
-    sample = cut.orderBy("h", "lang", "long").limit(TRAIN_DOCS).toArrow()
+    sample = smallest_hashes(cut, "h", TRAIN_DOCS, "lang", "long").toArrow()
     if not len(sample):
         return None
     lang = sample.column("lang").to_pylist()

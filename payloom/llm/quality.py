@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8_of
+from .common import smallest_hashes, utf8_of
 
 #: Bound of the labelled sample, hashed trigram terms, latent dimensions, neighbours, power of the similarity.
 LABELLED, TERMS, LATENT, NEAREST, POWER = 4096, 2048, 48, 9, 4
@@ -126,7 +126,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text") -> Model | None:
     """A model from LABELLED rows at most of ``docs`` joined with ``labels``."""
     sample = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(id_col), F.lit(6)).alias("h"))
-    sample = sample.dropDuplicates(["__id"]).orderBy("h").limit(LABELLED)
+    sample = smallest_hashes(sample.dropDuplicates(["__id"]), "h", LABELLED)
     docs = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
     rows = docs.join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select("h", "label", "text")
     found = rows.mapInArrow(_feature_rows, "h long, label int, row binary").orderBy("h").toArrow()

@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import smallest_hashes
+
 #: Labelled findings that are fitted at most, trees, their depth, least findings in a leaf; characters of context.
 FINDINGS, TREES, DEPTH, LEAF, CONTEXT = 6000, 15, 6, 8, 40
 LEAST = 0.5
@@ -121,7 +123,8 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int):
 def fit(findings: DataFrame, seed: int = 21) -> list:
     """The forest's trees, from FINDINGS rows at most (before, token, after, label)."""
     columns = feature_columns(F.col("before"), F.col("token"), F.col("after"))
-    rows = findings.select(F.xxhash64("before", "token", "after").alias("h"), F.col("label").cast("int"), *[c.cast("double").alias(n) for n, c in columns]).orderBy("h").limit(FINDINGS).collect()
+    rows = findings.select(F.xxhash64("before", "token", "after").alias("h"), F.col("label").cast("int"), *[c.cast("double").alias(n) for n, c in columns])
+    rows = smallest_hashes(rows, "h", FINDINGS).collect()
     if not rows:
         return [0.0]
     x, y = np.array([r[2:] for r in rows], float), np.array([r[1] for r in rows], float)
