@@ -271,3 +271,35 @@ def job_retries(spark, d):
 @query("""with x as (select user_id as document_id, event_id as seq, event_type as payload, lag(event_type) over (partition by user_id order by event_id) as before from events) select document_id, seq, payload from x where before is null or before <> payload""")
 def status_changes(spark, d):
     return J.changes(V.table(spark, d, "events").select(F.col("user_id").alias("document_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("payload")))
+
+
+_STANDARD = """, x as (select i.invoice_id as id, nullif(case when i.invoice_id % 9 = 0 then '' else invoice_number end, '') as invoice_number, coalesce(nullif(case when i.invoice_id % 4 = 0 then '' else currency end, ''), 'INR') as currency from invoices i),
+t as (select invoice_id, coalesce(sum(amount) filter (tax_type = 'CGST_SGST'), 0) as both_, coalesce(sum(amount) filter (tax_type = 'IGST'), 0) as igst from invoice_taxes group by 1), n as (select invoice_id, count(*) as items, count(*) filter (pos % 2 = 1 or pos % 4 <> 0) as known from invoice_items group by 1)
+select id, invoice_number, currency, cast(cast(cast(both_ * 100 as bigint) + 1 as bigint) // 2 * 0.01 as decimal(18,2)) as cgst, cast(both_ - cast(cast(cast(both_ * 100 as bigint) + 1 as bigint) // 2 * 0.01 as decimal(18,2)) as decimal(18,2)) as sgst, cast(igst as decimal(18,2)) as igst, cast(items as integer) as items, cast(known as integer) as known
+from x join t on t.invoice_id = id join n on n.invoice_id = id"""
+
+
+@query(with_views("invoices invoice_taxes invoice_items", _STANDARD))
+def standard_form(spark, d):
+    from payloom.operators import standard as N
+
+    k = F.col("invoice_id")
+    taxes = V.invoice_taxes(spark, d).groupBy("invoice_id").agg(F.collect_list(F.struct("tax_type", "rate_percent", "amount")).alias("taxes"))
+    seen = F.when(F.col("pos") % 4 == 0, 0.0).otherwise(0.9)
+    items = V.invoice_items(spark, d).groupBy("invoice_id").agg(F.sort_array(F.collect_list(F.struct("pos", "description", F.when(F.col("pos") % 2 == 0, 0).otherwise(F.col("quantity")).cast(V.QUANTITY).alias("quantity"), "unit_price", "line_total", seen.alias("confidence")))).alias("line_items"))
+    field = lambda c: F.struct(c.alias("value"))
+    none = F.lit(None).cast("string")
+    x = V.invoices(spark, d).join(taxes, "invoice_id").join(items, "invoice_id")
+    payload = F.struct(field(F.when(k % 9 == 0, "").otherwise(F.col("invoice_number"))).alias("invoice_number"), F.col("invoice_date").cast("string").alias("invoice_date"), none.alias("due_date"), field(none).alias("po_reference"), F.when(k % 4 == 0, "").otherwise(F.col("currency")).alias("currency"), F.struct(field(none).alias("name"), field(none).alias("gstin")).alias("vendor"), "line_items", "taxes", F.col("grand_total").alias("subtotal"), F.lit(0).cast(V.MONEY).alias("discount_total"), F.lit(0).cast(V.MONEY).alias("tax_total"), "grand_total")
+    out = N.standard(x.select(k.alias("id"), payload.alias("payload")))
+    return out.select("id", "invoice.invoice_number", "invoice.currency", "taxes.cgst", "taxes.sgst", "taxes.igst", F.size("items").alias("items"), F.size(F.filter("items", lambda i: i["quantity"].isNotNull())).alias("known"))
+
+
+@query(with_views("invoices vendors invoice_taxes", """ select i.invoice_id as doc_id, invoice_number, cast(invoice_date as varchar) as invoice_day, v.gstin, name as vendor_name, grand_total from invoices i join vendors v on v.tenant_id = i.tenant_id and v.vendor_id = i.vendor_id"""))
+def extraction(spark, d):
+    from payloom.operators import standard as N
+
+    x = V.invoices(spark, d).join(V.vendors(spark, d), ["tenant_id", "vendor_id"])
+    text = F.concat_ws("\n", F.lit("TAX INVOICE"), F.concat(F.lit("Invoice No: "), "invoice_number"), F.concat(F.lit("Invoice Date: "), F.date_format("invoice_date", "dd/MM/yyyy")), F.concat(F.lit("GSTIN: "), "gstin"), F.lit("Seller:"), F.col("name"), F.lit("Bill To: someone"), F.lit("Subtotal 1.00"), F.concat(F.lit("Grand Total: ₹ "), F.format_number("grand_total", 2)))
+    out = N.extract_text(x.select(F.col("invoice_id").alias("doc_id"), text.alias("text")))
+    return out.select("doc_id", "invoice_number", F.col("invoice_day").cast("string").alias("invoice_day"), "gstin", "vendor_name", "grand_total")
