@@ -48,12 +48,15 @@ def pan(x: Column) -> Column:
 
 def number(x: Column, default: float | None = 0.0) -> Column:
     """F-19, F-20: of a comma and a point the later one is the decimal mark; a lone comma is one before two last digits."""
-    bare = F.regexp_replace(F.regexp_replace(x, " ", " "), "[^0-9,.-]", "")
-    comma, point = F.length(bare) - F.instr(F.reverse(bare), ","), F.length(bare) - F.instr(F.reverse(bare), ".")
-    both = bare.contains(",") & bare.contains(".")
-    text = F.when(both & (comma > point), F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(both, F.replace(bare, F.lit(","), F.lit("")))
-    text = text.when(bare.rlike("^[^,]*,[0-9]{2}$"), F.replace(bare, F.lit(","), F.lit("."))).otherwise(F.replace(bare, F.lit(","), F.lit("")))
-    parsed = text.try_cast("decimal(18,2)")
+    def read(bare: Column) -> Column:
+        comma, point = F.length(bare) - F.instr(F.reverse(bare), ","), F.length(bare) - F.instr(F.reverse(bare), ".")
+        both = bare.contains(",") & bare.contains(".")
+        text = F.when(both & (comma > point), F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(both, F.replace(bare, F.lit(","), F.lit("")))
+        text = text.when(bare.rlike("^[^,]*,[0-9]{2}$"), F.replace(bare, F.lit(","), F.lit("."))).otherwise(F.replace(bare, F.lit(","), F.lit("")))
+        return text.try_cast("decimal(18,2)")
+
+    # The text without other characters is a lambda's variable, so that it is made once and not at each of its uses.
+    parsed = F.get(F.transform(F.array(F.regexp_replace(x, "[^0-9,.-]", "")), read), F.lit(0))
     return parsed if default is None else F.coalesce(parsed, F.lit(default).cast("decimal(18,2)"))
 
 
@@ -105,7 +108,11 @@ def hsn(x: Column) -> Column:
 
 def header_key(x: Column) -> Column:
     """F-14: what a column's header means, by its first match."""
-    t = F.lower(compact(x))
+    return header_rules(F.lower(compact(x)))
+
+
+def header_rules(t: Column) -> Column:
+    """``header_key`` of a text that is compact and in lower case already."""
     rules = [("hsn|sac", "hsn_sac"), ("qty|quantity|units", "quantity"), ("discount", "discount"), ("unit price|rate per|price|^rate$", "unit_price"), ("tax amount|gst amount", "tax_amount"), ("gst|tax|rate|%", "gst_rate"), ("amount|total|value", "line_total"), ("description|item|particular|product|service", "description")]
     out = F.when(F.lit(False), "")
     for pattern, key in rules:
