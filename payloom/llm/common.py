@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,20 +39,37 @@ def shared_dir(spark: SparkSession) -> str:
     return str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
+#: Folders of this process, by session; they go when the process ends, as results are read from them until then.
+_FOLDERS: dict[str, SparkSession] = {}
+_OWN = uuid.uuid4().hex
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for where, spark in _FOLDERS.items():
+        with contextlib.suppress(Exception):  # the session may have ended before
+            _delete(spark, where)
+
+
 class Cut:
     """A table written to the shared folder: lineage ends there, and a lost executor costs only a read."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/payloom/{name}-{uuid.uuid4().hex}"
+        folder = f"{shared_dir(self.spark)}/payloom-{_OWN}"
+        _FOLDERS.setdefault(folder, self.spark)
+        self.path = f"{folder}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         """Delete the files of a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path)
 
 
 def with_columns(schema: T.StructType, *fields: T.StructField) -> T.StructType:
