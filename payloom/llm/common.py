@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,3 +118,12 @@ def smallest_hashes(rows: DataFrame, h: str, limit: int, *ties: str) -> DataFram
     if (n := rows.count()) > 4 * limit:
         rows = rows.where(F.col(h) <= F.lit(int(-(2**63) + 2**64 * (3 * limit / n))))
     return rows.orderBy(h, *ties).limit(limit)
+
+
+def share(spark: SparkSession, thing):
+    """A broadcast of an object of one of this package's classes, which workers read without the package (``shared``)."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def shared(broadcast):
+    return pickle.loads(broadcast.value)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import smallest_hashes, utf8_of
+from .common import share, shared, smallest_hashes, utf8_of
 
 #: Bound of the training sample in documents, bytes of a window, filter widths and filters of each width.
 TRAIN_DOCS, WINDOW, WIDTHS, FILTERS = 6000, 256, (2, 3, 4), 10
@@ -148,10 +148,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     return network
 
 
-def _predicted(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _predicted(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
     import regex
 
-    network, letter = shared.value, regex.compile(r"\p{L}")
+    network, letter = shared(known), regex.compile(r"\p{L}")
     tables = network.tables() if network else None
     for batch in batches:
         text = batch.column(batch.num_columns - 1)
@@ -183,7 +183,7 @@ def _predicted(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordB
 
 def predict(docs: DataFrame, network: Network | None, keep: list[Column], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` with ``lang_pred`` and ``score`` for each row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(network)
+    known = share(docs.sparkSession, network)
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(lambda it: _predicted(it, shared), f"{kept}, lang_pred string, score double")
+    return rows.mapInArrow(lambda it: _predicted(it, known), f"{kept}, lang_pred string, score double")

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import smallest_hashes, utf8_of
+from .common import share, shared, smallest_hashes, utf8_of
+from .shingles import _Powers, word_hashes
 
 #: Bound of the labelled sample, hashed trigram terms, latent dimensions, neighbours, power of the similarity.
 LABELLED, TERMS, LATENT, NEAREST, POWER = 4096, 2048, 48, 9, 4
@@ -54,8 +55,6 @@ def _form(b: np.ndarray, words: np.ndarray, hits: np.ndarray) -> list[float]:
 
 def features(texts: pa.Array) -> Iterator[np.ndarray]:
     """A row (TERMS + MEASURES * BINS) for each text: square roots of trigram counts, and soft bins of its form."""
-    from .shingles import _Powers, word_hashes
-
     data, offsets = utf8_of(texts)
     powers, start, rows = _Powers(), 0, len(offsets) - 1
     centres = np.linspace(0, 1, BINS)
@@ -136,8 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     return Model(x, found.column("label").to_numpy())
 
 
-def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    model = shared.value
+def _scored(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
+    model = shared(known)
     for batch in batches:
         text = batch.column(batch.num_columns - 1)
         if model is None:
@@ -149,7 +148,7 @@ def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
 
 def score(docs: DataFrame, model: Model | None, keep: list[Column], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` with ``score`` (0 to 1) for each row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    known = share(docs.sparkSession, model)
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(lambda it: _scored(it, shared), f"{kept}, score double")
+    return rows.mapInArrow(lambda it: _scored(it, known), f"{kept}, score double")
