@@ -164,3 +164,13 @@ def test_licences_equal_the_oracle(spark):
     want = sorted(c.execute("select doc_id, licence, sentences, round(dice, 9) from (" + licences.oracle() + ")").fetchall())
     got = sorted((r.doc_id, r.licence, r.sentences, round(r.dice, 9)) for r in licences.scan(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect())
     assert got == want and got
+
+
+def test_licence_lines_of_documents_are_all_found(spark):
+    """By string search, without the templates: each form of licence line that documents hold names its licence."""
+    forms = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "Proprietary", "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    lines = [(r.doc_id, line.strip()) for r in docs.collect() for line in (r.text or "").split("\n")]
+    want = {(i, forms[line]) for i, line in lines if line in forms}
+    assert {line for _, line in lines if "icense" in line or "rights reserved" in line} <= set(forms)
+    assert {(r.doc_id, r.licence) for r in licences.scan(docs).collect()} == want and any(n == "Proprietary" for _, n in want)
