@@ -174,3 +174,15 @@ def test_licence_lines_of_documents_are_all_found(spark):
     want = {(i, forms[line]) for i, line in lines if line in forms}
     assert {line for _, line in lines if "icense" in line or "rights reserved" in line} <= set(forms)
     assert {(r.doc_id, r.licence) for r in licences.scan(docs).collect()} == want and any(n == "Proprietary" for _, n in want)
+
+
+def test_licences_over_lines_and_inside_sentences(spark):
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n"
+    mit = " * Permission is hereby granted, free of charge, to any person obtaining\n * a copy of this software and associated documentation files (the\n * \"Software\"), to deal in the Software"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n1. x"
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy"
+    wrapped = "This work is licensed under the GNU General Public License,\nversion 3."
+    rows = [(1, gpl, "GPL-3.0"), (2, mit, "MIT"), (3, bsd, "BSD-3-Clause"), (4, "Copyright 2020 Acme Corp, released under the MIT License.", "MIT"), (5, apache, "Apache-2.0"), (6, wrapped, "GPL-3.0"), (7, "the terms of the license are\npublic and free of charge to any person", None), (8, "Acme 2020 - all rights\nreserved - more words follow here", "Proprietary")]
+    got = licences.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.licence) for r in got} == {(i, n) for i, _, n in rows if n}
+    assert {r.doc_id: (r.sentences, r.dice) for r in got}[4] == (1, 1.0) and all(r.sentences == 1 for r in got)
