@@ -7,8 +7,8 @@ its presentation importance that of its children's sequences, both relative to t
 as important as the better of the two, and of its best child. Branches below LEAST, on hosts with PAGES distinct pages or
 more, are templates and go, as do those whose text is mostly links. As random menus, adverts and footers vary as much as
 articles do, entropy alone cannot tell these: elements whose tag, role, class or id names them as such have no
-importance from the start, and if a page has an article or main element of its own, only text inside counts, and counts
-always. What is kept or removed is a node of the tree, never a single text, so a paragraph that many pages share stays.
+importance from the start, and if a page has an article or main element of its own, only text inside counts,
+less the removed branches in it. What is kept or removed is a node of the tree, never a single text, so a paragraph that many pages share stays.
 
 Counts are combined before their shuffle; a host's removed branches, not its pages, are what joins the pages again.
 
@@ -138,13 +138,13 @@ def main_text(page: str, removed: frozenset[str]) -> str:
     kept = [b for b in parse(page)[0] if not b[2]]
     if any(b[3] for b in kept):
         kept = [b for b in kept if b[3]]
-    elif removed:
+    if removed:
         kept = [b for b in kept if not any(b[0] == r or b[0].startswith(r + "/") for r in removed)]
     return "\n\n".join(b[1] for b in kept)
 
 
 def _styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page and node outside articles that is not noise: hashes of its text and of its children's sequence."""
+    """For each page and node that is not noise: hashes of its text and of its children's sequence."""
     import xxhash
 
     for batch in batches:
@@ -152,8 +152,8 @@ def _styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             blocks, shown = parse(page)
             texts: dict[str, list] = {}
-            for path, text, noise, inside, linked in blocks:
-                if not (noise or inside):
+            for path, text, noise, _, linked in blocks:
+                if not noise:
                     parts = path.split("/")
                     for i in range(2, len(parts) + 1):
                         texts.setdefault("/".join(parts[:i]), []).append((text, linked))

@@ -29,3 +29,9 @@ def test_clashing_columns(spark):
     pages = spark.createDataFrame([(1, "http://a.example/", "<p>x</p>", "old", "h")], "page_id long, url string, html string, text string, host string")
     out = H.extract(pages)
     assert out.columns.count("text") == 1 and out.first().text == "x" and out.first().host == "h"
+
+
+def test_templates_inside_articles_go(spark):
+    page = "<body><article><div class='x'>Read this first</div><p>Story {0} is told here.</p><p>A shared line.</p><div class='y'><a href='/1'>one{0}</a></div></article></body>"
+    pages = spark.createDataFrame([(i, f"http://site.example/{i}", page.format(i * 37)) for i in range(12)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in H.extract(pages).collect()}[3] == "Story 111 is told here.\n\nA shared line."
