@@ -138,7 +138,7 @@ def import_pos(spark, d):
 @query("""select event_id as document_id, 'grand_total' as field, cast(event_id as varchar) as predicted, case when event_id % 2 = 0 then '"' || event_type || '"' else '{"k":' || (event_id % 10) || '}' end as correct from events where event_id % 5 = 0""")
 def corrections(spark, d):
     k = F.col("event_id")
-    x = V.table(spark, d, "events").where(k % 5 == 0).select(k.alias("document_id"), F.lit("grand_total").alias("path"), k.cast("string").alias("old_value"), F.when(k % 2 == 0, F.col("event_type")).otherwise(F.concat(F.lit('{"k": '), (k % 10).cast("string"), F.lit("}"))).alias("new_value"), F.col("ts").alias("created_at"))
+    x = V.table(spark, d, "events").select(k.alias("document_id"), F.lit("grand_total").alias("path"), k.cast("string").alias("old_value"), F.when(k % 2 == 0, F.col("event_type")).otherwise(F.concat(F.lit('{"k": '), (k % 10).cast("string"), F.lit("}"))).alias("new_value"), F.col("ts").alias("created_at"))
     return I.export_corrections(x).drop("created_at")
 
 
