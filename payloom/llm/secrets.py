@@ -1,6 +1,7 @@
 """Secret scans with a random forest, as DataFrame expressions.
 
-Candidates are runs of 16 or more characters of keys and tokens that hold a digit. Each is described by its length, its
+Candidates are the values after words that announce a secret, of any form from 3 characters on, and elsewhere runs of 16
+or more characters of keys and tokens that hold a digit ('=' ends a run but for padding). Each is described by its length, its
 character transitions, the shares of its character classes, how much of it dictionary words cover, whether it looks like
 a path, and the words around it. A random forest, fitted on labelled findings, tells secrets from hashes, identifiers,
 paths and placeholders. Its trees become nested conditions over the features of a candidate, inside the row that holds
@@ -26,14 +27,23 @@ from .common import smallest_hashes
 #: Labelled findings that are fitted at most, trees, their depth, least findings in a leaf; characters of context.
 FINDINGS, TREES, DEPTH, LEAF, CONTEXT = 6000, 15, 6, 8, 40
 LEAST = 0.5
-_RUN = "A-Za-z0-9_+/=-"
-CANDIDATE = f"(?<![{_RUN}])(?=[A-Za-z_+/=-]{{0,64}}[0-9])[{_RUN}]{{16,}}"
+_RUN = "A-Za-z0-9_+/-"
 #: Words that announce a secret, words that announce something else, and a dictionary.
 SECRET_WORDS = "token secret password passwd pwd passphrase apikey api_key api-key access_key accesskey private credential bearer auth authorization"
 OTHER_WORDS = "commit sha sha1 sha256 md5 checksum hash digest etag uuid guid revision integrity example sample placeholder dummy changeme version build isbn order tracking phone path file image url http https www"
 DICTIONARY = "your the and for with this that from here example sample test demo placeholder change insert value key token secret user name file path data image report version build release document index page model config default public static main class function string number order item customer invoice account tracking"
 
 
+#: The value after a word that announces a secret: what quotes hold, or all up to a space or a mark.
+_SAID = f"(?i:{'|'.join(w.replace('-', chr(92) + '-') for w in SECRET_WORDS.split())})"
+_SIGN = r"(?:[\"'`]?[ \t]{0,4}(?::=|=>|[:=]|(?i:\bis\b))[ \t]{0,4}|(?<=(?i:bearer))[ \t])"
+_VALUE = r"[^\s\"'`,;<>()\[\]{}]{2,}[^\s\"'`,;<>()\[\]{}.:]"
+ANNOUNCED = rf"(?<=[\s=:>\"'`])(?=[^\s\"'`])(?:(?<=[\"'`])(?<=(?<![A-Za-z0-9]){_SAID}{_SIGN}[\"'`])(?:[^\"'`\n]{{3,}}(?=[\"'`])|{_VALUE})|(?<=(?<![A-Za-z0-9]){_SAID}{_SIGN}){_VALUE})"
+CANDIDATE = f"{ANNOUNCED}|(?<![{_RUN}])(?=[A-Za-z_+/-]*[0-9])[{_RUN}]{{16,}}(?:={{1,2}}(?![{_RUN}=]))?"
+#: Values that hold no secret.
+BLANK = r"(?i)^(?:[$%<*{].*|x+|none|null|nil|true|false|yes|no|required|optional|missing|invalid|valid|expired|empty|unknown|disabled|enabled|hidden|redacted|masked|changeme|string|text|bearer|basic|not|the|your.*|my.*|example.*|insert.*|placeholder.*)$"
+
+
 def _any_of(words: str, text: Column) -> Column:
     return text.rlike("(?i)(?<![a-z0-9])(?:" + "|".join(w.replace("-", r"\-") for w in words.split()) + ")(?![a-z0-9])").cast("double")
 
@@ -70,13 +80,16 @@ def feature_columns(before: Column, token: Column, after: Column) -> list[tuple[
         ("quoted", before.rlike("[\"'`]$").cast("double")),
         ("secret_word", _any_of(SECRET_WORDS, near)),
         ("other_word", _any_of(OTHER_WORDS, near)),
+        ("announced", before.rlike(rf"(?<![A-Za-z0-9]){_SAID}{_SIGN}[\"'`]?$").cast("double")),
+        ("blank_value", token.rlike(BLANK).cast("double")),
+        ("spaces", (F.size(F.split(token, " ")) - 1).cast("double")),
         ("known_prefix", token.rlike(r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|sk_live_|sk-|xox[abp]-|AIza|glpat-|eyJ)").cast("double")),
     ]
 
 
 def labelled_findings(spark: SparkSession, count: int = 4800) -> DataFrame:
     """before, token, after and label, by rule, of ``count`` rows."""
-    return spark.range(count).selectExpr(
+    runs = spark.range(count).selectExpr(
         "id", "sha2(cast(id as string), 256) as h", "translate(base64(unhex(sha2(concat('b', id), 512))), '\n', '') as b",
         "pmod(xxhash64(id, 1), 24) as kind", "pmod(xxhash64(id, 2), 8) as word", "pmod(xxhash64(id, 3), 6) as form", "cast(20 + pmod(xxhash64(id, 4), 28) as int) as n",
     ).selectExpr(
@@ -96,6 +109,22 @@ def labelled_findings(spark: SparkSession, count: int = 4800) -> DataFrame:
             when kind < 16 or kind = 23 then concat(lead, other, element_at(array(' ', ': ', ' = ', ':', '=', ' "'), cast(form + 1 as int))) when kind = 17 then concat(lead, announce, sign) else concat(lead, element_at(array('/', ' ', 'of ', '.', 'id ', 'nr. '), cast(form + 1 as int))) end as before""",
         "token", "if(form in (0, 4), '\"', element_at(array(' and', '.', '.html', ' the', '', ','), cast(pmod(id, 6) + 1 as int))) as after", "if(kind < 12, 1, 0) as label",
     )
+    return runs.unionByName(_announced_values(spark, count // 4))
+
+
+def _announced_values(spark: SparkSession, count: int) -> DataFrame:
+    """Short values, words and phrases after announcing words, against values that hold no secret."""
+    word = lambda seed: f"element_at(array('river', 'Orange', 'battery', 'staple', 'horse', 'correct', 'Window', 'candle', 'mountain', 'velvet'), cast(pmod(xxhash64(id, {seed}), 10) + 1 as int))"
+    return spark.range(count).selectExpr(
+        "id", "sha2(concat('v', id), 256) as h", "pmod(xxhash64(id, 11), 10) as kind", "pmod(xxhash64(id, 12), 4) as form", "cast(5 + pmod(xxhash64(id, 13), 12) as int) as n",
+        "element_at(array('token', 'password', 'passphrase', 'secret', 'pwd', 'passwd', 'api_key', 'credential'), cast(pmod(xxhash64(id, 14), 8) + 1 as int)) as announce", f"{word(1)} as a", f"{word(2)} as b", f"{word(3)} as c", f"{word(4)} as d",
+    ).selectExpr(
+        "concat(element_at(array('set ', 'DB_', 'file path ', 'url/build_'), cast(pmod(xxhash64(id, 15), 4) + 1 as int)), if(pmod(id, 3) = 0, upper(announce), announce), case when kind = 9 then ' is ' when kind = 3 then ': \"' else element_at(array(' = \"', '=', ': ', ': \"'), cast(form + 1 as int)) end) as before",
+        """case kind when 0 then substr(h, 1, n * if(pmod(id, 2) = 0, 1, 4)) when 1 then concat(a, substr(h, 1, 3)) when 2 then translate(substr(h, 1, n), '0123456789', 'ghijkLMNop') when 3 then concat_ws(' ', a, b, c, d)
+            when 4 then concat(a, '!', substr(h, 1, 2), '$') when 5 then concat(a, b) when 6 then element_at(array('none', 'null', 'required', 'invalid', 'expired', 'true', 'changeme', '********'), cast(pmod(id, 8) + 1 as int))
+            when 7 then concat(element_at(array('your_', 'my_', 'example_', '${', '<'), cast(pmod(id, 5) + 1 as int)), announce) when 8 then element_at(array('missing', 'optional', 'xxxxxxxx', 'string', 'hidden', '%s'), cast(pmod(id, 6) + 1 as int)) else lower(a) end as token""",
+        "if(form in (0, 3) or kind = 3, '\"', element_at(array(' and', '.', ' the', ''), cast(pmod(id, 4) + 1 as int))) as after", "if(kind < 6, 1, 0) as label",
+    )
 
 
 def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int):
@@ -146,14 +175,16 @@ def findings_column(text: str, forest: list) -> Column:
     """An array of (start, token, score) for the candidates of a text; start counts characters from 1."""
     x = F.col(text)
     tokens = F.regexp_extract_all(x, F.lit(CANDIDATE), F.lit(0))
-    # A candidate is a whole run, so it is the next place where its characters occur after the one before.
+    # The text between candidates gives their places.
+    gaps = F.split(x, CANDIDATE, -1)
     none = F.array().cast("array<struct<start:int,token:string>>")
 
-    def place(seen: Column, token: Column) -> Column:
-        start = F.call_function("locate", token, x, seen["next"])
-        return F.struct((start + F.length(token)).alias("next"), F.concat(seen["found"], F.array(F.struct(start.alias("start"), token.alias("token")))).alias("found"))
+    def place(seen: Column, pair: Column) -> Column:
+        start = seen["next"] + F.length(pair["gap"])
+        return F.struct((start + F.length(pair["token"])).alias("next"), F.concat(seen["found"], F.array(F.struct(start.alias("start"), pair["token"].alias("token")))).alias("found"))
 
-    placed = F.aggregate(tokens, F.struct(F.lit(1).alias("next"), none.alias("found")), place, lambda s: s["found"])
+    pairs = F.zip_with(tokens, F.slice(gaps, 1, F.size(tokens)), lambda t, g: F.struct(t.alias("token"), g.alias("gap")))
+    placed = F.aggregate(pairs, F.struct(F.lit(1).alias("next"), none.alias("found")), place, lambda s: s["found"])
     around = F.transform(placed, lambda p: F.struct(p["start"].alias("start"), p["token"].alias("token"), F.substring(x, F.greatest(F.lit(1), p["start"] - CONTEXT), F.least(F.lit(CONTEXT), p["start"] - 1)).alias("before"), F.substring(x, p["start"] + F.length(p["token"]), F.lit(8)).alias("after")))
     names = [n for n, _ in feature_columns(F.lit(""), F.lit("a"), F.lit(""))]
     described = F.transform(around, lambda c: F.struct(c["start"].alias("start"), c["token"].alias("token"), F.struct(*[v.cast("double").alias(n) for n, v in feature_columns(c["before"], c["token"], c["after"])]).alias("f")))

@@ -186,3 +186,12 @@ def test_licences_over_lines_and_inside_sentences(spark):
     got = licences.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
     assert {(r.doc_id, r.licence) for r in got} == {(i, n) for i, _, n in rows if n}
     assert {r.doc_id: (r.sentences, r.dice) for r in got}[4] == (1, 1.0) and all(r.sentences == 1 for r in got)
+
+
+def test_secrets_of_any_form_after_announcing_words(spark, forest):
+    key = "9f86d081884c7d659a2feaa0c55ad015"
+    found = {1: "hunter22", 2: "correct horse battery staple", 3: "qLmnWcoPabe", 4: key, 5: key, 6: "Orange!4f$"}
+    texts = {1: "hunter2 and so on, password = hunter22.", 2: 'the passphrase: "correct horse battery staple" is', 3: "DB_PASSWD=qLmnWcoPabe", 4: f"DB_ACCESS_LAYER_SECRET={key}", 5: f"see {'a_long/path_' * 8} token={key}", 6: 'pwd: "Orange!4f$"', 7: "password: required", 8: "the token is invalid", 9: "password = ${PASSWORD}"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.start, r.secret) for r in secrets.scan(docs, forest).collect()} == {i: (texts[i].rindex(s) + 1, s) for i, s in found.items()}
+    assert {r.doc_id: r.text for r in secrets.mask(docs, forest).collect()}[3] == "DB_PASSWD=[SECRET]"
