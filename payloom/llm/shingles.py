@@ -33,12 +33,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 class _Powers:
     """Powers of an odd number and of its inverse modulo 2^64, kept up to the longest chunk so far."""
 
-    def __init__(self):
+    def __init__(self, chunk: int = CHUNK_BYTES):
         self.up = self.down = np.ones(1, np.uint64)
+        self.chunk = chunk
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, CHUNK_BYTES + 1)
+            n = max(n, self.chunk + 1)
             for name, base in (("up", _P), ("down", pow(_P, -1, 2**64))):
                 x = np.full(n, base, np.uint64)
                 x[0] = 1

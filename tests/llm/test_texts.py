@@ -1,11 +1,13 @@
 """Tokens, quality, language, secrets and licences on messy and on real documents."""
 
 import hashlib
+import json
 import random
 
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -39,24 +41,60 @@ def test_encoding_keeps_columns_and_round_trips(messy, vocabulary):
         assert bytes(r.decoded) == (r.text or "").encode()
         assert len(r.token_ids) == len(r.token_starts) == len(r.token_ends)
         assert not r.token_ends or r.token_ends[-1] == len(r.text)
+    shown = bpe.decode(bpe.encode(messy, vocabulary), vocabulary, pieces=True)
+    assert all("".join(r.token_texts) == (r.text or "") for r in shown.select("text", "token_texts").collect())
+    assert {(r.n_chars, r.doc_id) for r in bpe.digests(messy, vocabulary).collect()} == {(len(r.text or ""), r.doc_id) for r in messy.collect()}
     both = bpe.encode_and_decode(messy, vocabulary)
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in both.select("text", "decoded").collect())
 
 
-def test_random_strings(vocabulary, reference):
+class Held:
+    def __init__(self, *value):
+        self.value = value
+
+
+def all_ids(encoder, texts):
+    return [ids[x:y].tolist() for _, _, ids, first, _, _ in bpe.encoded(pa.array(texts, pa.string()), encoder) for x, y in zip(first, first[1:])]
+
+
+@pytest.mark.parametrize("way", ["runs", "pattern", "small chunks"])
+def test_random_strings(vocabulary, reference, way, monkeypatch):
     rng = random.Random(1)
-    text, pattern, table, memo = vocabulary.shared.value
-    import regex
-
-    tokenizer = bpe._tokenizer(text)
-    split = regex.compile(pattern).findall
-    pool = [chr(i) for i in range(0x300)] + list(" 　‍😀中é\x1c\x85")
-    for _ in range(300):
-        s = "".join(rng.choice(pool if rng.random() < 0.5 else " \n'sdtab") for _ in range(rng.randint(0, 30)))
-        want = reference.encode_ordinary(s)
-        assert tokenizer.encode(s, add_special_tokens=False).ids == want
-        assert len(split(s)) == 0 or "".join(split(s)) == s
-        assert "".join(bpe.text_pieces(want, table)) == s
+    text, pattern, classes = vocabulary.shared.value
+    assert pattern == bpe.RUNS_PATTERN and classes
+    if way == "small chunks":
+        monkeypatch.setattr(bpe, "CHUNK_BYTES", 40)
+        monkeypatch.setattr(bpe, "MEMO_PIECES", 50)
+    encoder = bpe.Encoder(Held(text, pattern, b"" if way == "pattern" else classes))
+    pool = [chr(i) for i in range(0x300)] + list(" 　‍😀中é\x1c\x85٣Ⅷ")
+    texts = ["".join(rng.choice(pool if rng.random() < 0.5 else " \n'sdtablrevem") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts += [" ".join(texts[:300]), None, ""]
+    want = [reference.encode_ordinary(t or "") for t in texts]
+    assert all_ids(encoder, texts) == want
+    tokens = bpe.token_bytes(text)
+    assert all("".join(bpe.text_pieces(ids, tokens)) == (t or "") for t, ids in zip(texts, want))
+
+
+def test_pieces_that_share_a_hash_are_told_apart(vocabulary, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "mix", lambda h: h & np.uint64(7))
+    texts = ["some words and some more words", "quite other words"]
+    assert all_ids(bpe.Encoder(vocabulary.shared), texts) == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_offsets_equal_the_library(vocabulary, reference):
+    from tokenizers import Tokenizer
+
+    spec = json.loads(vocabulary.shared.value[0])
+    spec["pre_tokenizer"]["use_regex"] = True
+    library, encoder = Tokenizer.from_str(json.dumps(spec)), bpe.Encoder(vocabulary.shared)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab é中😀 's1.") for _ in range(rng.randint(0, 20))) for _ in range(500)]
+    for _, _, ids, first, part, at in bpe.encoded(pa.array(texts), encoder):
+        starts, ends, split = bpe.token_spans(ids, first, part, at, encoder)
+        for t, x, y in zip(texts, first, first[1:]):
+            spans = list(zip(starts[x:y].tolist(), ends[x:y].tolist()))
+            assert spans == [tuple(o) for o in library.encode(t, add_special_tokens=False).offsets]
+            assert split[x:y].any() == any(a == b for (_, a), (_, b) in zip(spans, spans[1:]))
 
 
 def labels_of(spark, rows):
