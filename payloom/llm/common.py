@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return str(own.get()).rstrip("/")
-    if not conf.get("spark.master", "").startswith("local"):
+    if not re.match(r"local($|\[)", conf.get("spark.master", "")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="payloom-"))
     return str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
@@ -112,12 +113,21 @@ def crc_mod(doc_id: str, n: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(n)
 
 
+#: Ranges of hashes that are counted to find a bound for a sample: that many numbers reach the driver at most.
+HASH_RANGES = 1 << 14
+
+
 def smallest_hashes(rows: DataFrame, h: str, limit: int, *ties: str) -> DataFrame:
-    """``limit`` rows at most, those with the smallest 64-bit hash ``h``. Of a large table only hashes below a bound that
-    three times as many rows are expected to keep are sorted, so that no task is sent what every partition's best rows sum to."""
-    if (n := rows.count()) > 4 * limit:
-        rows = rows.where(F.col(h) <= F.lit(int(-(2**63) + 2**64 * (3 * limit / n))))
-    return rows.orderBy(h, *ties).limit(limit)
+    """``limit`` rows at most, those with the smallest 64-bit hash ``h``, or all if there are fewer. Only rows below the end of
+    the range of hashes in which the last one lies are sorted, so that no task is sent what every partition's best rows sum to
+    unless that many hashes are equal."""
+    place = F.shiftright(h, 50) + F.lit(HASH_RANGES // 2)
+    total = last = 0
+    for last, n in sorted(rows.groupBy(place.alias("place")).count().collect()):
+        total += n
+        if total >= limit:
+            break
+    return rows.where(place <= F.lit(last)).orderBy(h, *ties).limit(limit)
 
 
 def share(spark: SparkSession, thing):

@@ -126,9 +126,10 @@ class Network:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Network | None:
-    """A network from a bounded sample of labelled rows: TRAIN_DOCS rows, those with the smallest hash of their id, and of
-    each a stretch of WINDOW characters and a short one at places that the hash gives."""
-    h = F.xxhash64(F.col(id_col), F.lit(5))
+    """A network from a bounded sample of labelled rows: TRAIN_DOCS rows, those with the smallest hash of their id and text,
+    and of each a stretch of WINDOW characters and a short one at places that the hash gives. A stretch is cut to WINDOW
+    - 1 bytes, so that one of letters of two or three bytes holds half or a third as many."""
+    h = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(5))
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = rows.select(h.alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     place = lambda salt, width: (F.pmod(F.xxhash64("h", F.lit(salt)), F.greatest(F.lit(1), F.length("text") - width)) + 1).cast("int")
