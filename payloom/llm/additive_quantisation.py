@@ -2,7 +2,7 @@
 
 A vector is approximated by a sum of codewords, one from each of M full-dimensional codebooks. Codebooks start as those
 of residual k-means and are then fitted jointly by least squares on a bounded sample (``SAMPLE`` vectors, those with the
-smallest hash of their id). Every row is encoded by beam search and kept with its codes and the squared norm of its
+smallest hash of their id and vector). Every row is encoded by beam search and kept with its codes and the squared norm of its
 approximation. For a query, tables of its products with all codewords give each row's approximate distance by M
 look-ups; the nearest ``SHORTLIST`` share of every block, and all ties with the last of them, are ranked again by the
 Euclidean distance of the original vectors in double precision.
@@ -12,8 +12,9 @@ adaptive execution may deal to any task. No block exceeds a fixed size.
 
 Defined results: vectors that are null, empty or zero, hold null or non-finite components, have a null id or another
 length than most vectors take no part; of equal distances the smaller id is nearer; rows that bear the query's own id
-are no candidates; repeated rows are candidates each; fewer candidates than asked for are all returned; an empty table
-gives an empty result.
+are no candidates; repeated rows are candidates each, but one query (rows that share an id and differ in their vectors are
+queries each, with ranks of their own); fewer candidates than asked for are all returned; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -157,8 +158,8 @@ def _search(batches: Iterator[pa.RecordBatch], books, k: int) -> Iterator[pa.Rec
                 gap = exact[near] - q
                 far = np.sqrt((gap * gap).sum(axis=1))
                 best = np.lexsort((ids[near], far))[:k]
-                out.append((np.full(len(best), q_ids[i]), ids[near][best], far[best]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "vec_id", "score"])
+                out.append((np.full(len(best), q_ids[i]), np.full(len(best), row["q_block"] * QUERIES + i), ids[near][best], far[best]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "query", "vec_id", "score"])
 
 
 def neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -170,7 +171,7 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id"
     if lengths is None:
         return empty
     good = good.where(F.size("vector") == lengths["n"])
-    sample = smallest_hashes(good.select(F.xxhash64("id").alias("h"), "vector"), "h", SAMPLE, "vector").toArrow()
+    sample = smallest_hashes(good.select(F.xxhash64("id", "vector").alias("h"), "vector"), "h", SAMPLE, "vector").toArrow()
     books = spark.sparkContext.broadcast(fit(_matrix(sample.column("vector").combine_chunks())))
 
     def task() -> int:
@@ -178,7 +179,7 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id"
 
         return TaskContext.get().partitionId()
 
-    asked = good.where("asked").select("id", "vector")
+    asked = good.where("asked").select("id", "vector").distinct()
     index = Cut(good.select("id", "vector").mapInArrow(lambda it: _blocks(it, BLOCK, books, task), "block long, ids binary, rows binary, d int, codes binary, norms binary"), "index").df
     tasks = max(1, -(-asked.count() // QUERIES))
     queries = Cut(asked.repartition(tasks, F.xxhash64("id")).mapInArrow(lambda it: _blocks(it, QUERIES, None, task), "block long, ids binary, rows binary, d int"), "queries").df
@@ -187,6 +188,6 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id"
     pairs = index.select("block").withColumn("q_block", F.explode(F.array(*map(F.lit, numbers)).cast("array<long>")))
     both = pairs.join(index, "block").join(queries.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows")), "q_block")
     both = both.select("ids", "rows", "codes", "norms", "q_ids", "q_rows", "block", "q_block").repartition("block", "q_block")
-    found = both.mapInArrow(lambda it: _search(it, books, k), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = both.mapInArrow(lambda it: _search(it, books, k), "query_id long, query long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -84,3 +84,15 @@ def test_sums_of_codewords_come_near():
     books = A.fit(x, many=4, words=32)
     error = lambda beam: float(((x - A.decode(A.encode(x, books, beam), books)) ** 2).mean())
     assert error(8) <= error(1) < float((x**2).mean()) * 0.6
+
+
+def test_repeated_queries_are_answered_once(spark):
+    rows, _ = messy_vectors(spark, 4)
+    rows = [r for r in rows if r[0] < 150]
+    twice = rows + [rows[0], (10, rows[20][1], 0)]
+    df = spark.createDataFrame(twice, "vec_id long, embedding array<float>, label int")
+    got = [r for r in A.neighbours(df, F.col("vec_id") % 10 == 0, k=4).collect()]
+    of = {}
+    for r in got:
+        of.setdefault(r.query_id, []).append(r["rank"])
+    assert sorted(of[0]) == [1, 2, 3, 4] and sorted(of[10]) == [1, 1, 2, 2, 3, 3, 4, 4] and sorted(of[20]) == [1, 2, 3, 4]
