@@ -9,11 +9,12 @@ group leaves one residual, and residuals of groups meet in the next level of a r
 source is rounded by a draw of its own. Draws are hashes of the document, the level and the seed, so reruns agree.
 
 Groups hold GROUP documents or so: those of a source and a size class whose hash falls together. How many groups a class
-needs comes from counts, which are combined before their shuffle. No group grows with the input, only the number of
-levels does (with its logarithm).
+needs comes from counts, which are combined before their shuffle. Rows that are alike are counted first and then
+numbered, and the number is part of the hash, so that no group grows with the input, whatever repeats in it; only the
+number of levels does (with its logarithm).
 
 Defined results: a null text has size 0; a null source is a source, the last one; a document of size 0 takes none;
-repeated rows are documents each (rows that are alike in all columns share their draws); sources of equal names are one;
+repeated rows are documents each, with draws of their own; sources of equal names are one;
 an empty table gives an empty result.
 """
 
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, Cut
 
 GROUP = 128
+#: Rows that are alike and come from one row of their counts at a time.
+REPEATS = 4096
 
 
 def word_count(text: str) -> Column:
@@ -58,17 +61,17 @@ def _draw(level: int, seed: int, *parts: str) -> Column:
 
 
 def _fold(level: int) -> str:
-    """Folds the sorted array ``docs`` of structs (size, draw, id, part): the result's ``lost`` and ``won`` hold those
+    """Folds the sorted array ``docs`` of structs (size, draw, id, nth, part): the result's ``lost`` and ``won`` hold those
     rounded down and up, ``held`` and ``mass`` the one that is left and its part."""
     lost = "if({0}, array({1}), array())"
-    doc = "struct(x.size as size, x.draw as draw, x.id as id)"
+    doc = "struct(x.size as size, x.draw as draw, x.id as id, x.nth as nth)"
     sum_ = "(s.mass + x.part)"
     # Below 1 the new one takes all with probability part / sum; above, the new one is rounded up with probability (1 - mass) / (2 - sum).
     takes = f"(s.mass <= 0 or ({sum_} < 1 and x.draw * {sum_} < x.part))"
     up = f"({sum_} >= 1 and s.mass > 0)"
     new_up = f"({up} and x.draw * (2 - {sum_}) < (1 - s.mass))"
-    none = "cast(array() as array<struct<size:bigint,draw:double,id:bigint>>)"
-    return f"""aggregate(docs, struct({none} as lost, {none} as won, cast(null as struct<size:bigint,draw:double,id:bigint>) as held, cast(0 as double) as mass), (s, x) -> case
+    none = "cast(array() as array<struct<size:bigint,draw:double,id:bigint,nth:bigint>>)"
+    return f"""aggregate(docs, struct({none} as lost, {none} as won, cast(null as struct<size:bigint,draw:double,id:bigint,nth:bigint>) as held, cast(0 as double) as mass), (s, x) -> case
         when s.held is null then struct(s.lost as lost, s.won as won, {doc} as held, x.part as mass)
         when {new_up} then struct(s.lost as lost, concat(s.won, array({doc})) as won, s.held as held, {sum_} - 1 as mass)
         when {up} then struct(s.lost as lost, concat(s.won, array(s.held)) as won, {doc} as held, {sum_} - 1 as mass)
@@ -76,9 +79,20 @@ def _fold(level: int) -> str:
         else struct(concat(s.lost, array({doc})) as lost, s.won as won, s.held as held, {sum_} as mass) end)"""
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``nth``, which tells rows that are alike apart. Many of them are made in stretches, dealt to many tasks."""
+    names = rows.columns
+    counts = Cut(rows.groupBy(*names).agg(F.count("*").alias("__n")), "counts").df
+    many = counts.where(F.col("__n") > REPEATS).withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(REPEATS).cast("long"))))
+    many = many.repartition(*names, "__from").select(*names, "__from", F.least(F.col("__n"), F.col("__from") + REPEATS).alias("__end"))
+    few = counts.where(F.col("__n") <= REPEATS).select(*names, F.lit(0).cast("long").alias("__from"), F.col("__n").alias("__end"))
+    return few.unionByName(many).select(*names, F.explode(F.sequence(F.col("__from"), F.col("__end") - 1)).alias("nth"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id") -> DataFrame:
     """doc_id, size, source_size, target, copies and taken (= copies times size) for each row of ``docs``."""
-    rows = Cut(docs.select(F.col(id_col).cast("long").alias("id"), "source", word_count("text").alias("size")), "sizes").df
+    rows = _numbered(docs.select(F.col(id_col).cast("long").alias("id"), "source", word_count("text").alias("size")))
+    rows = Cut(rows, "sizes").df
     bins = F.when(F.col("size") > 0, (F.log2("size") * 4).cast("int")).otherwise(-1)
     rows = rows.withColumn("bin", bins)
     by_bin = Cut(rows.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.count("*").alias("docs")), "bins").df
@@ -89,21 +103,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     x = rows.join(ways, rows["source"].eqNullSafe(F.col("s")) & (rows["bin"] == F.col("b"))).drop("s", "b")
     x = x.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     x = x.withColumn("rate", F.least(rate, F.lit(most))).withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.floor("rate"))
-    spread = F.pmod(F.xxhash64("id", "size", F.lit(seed)), F.col("ways"))
-    settled = [x.where("size = 0 or part = 0").select("number", "id", "size", F.lit(0).alias("up"))]
+    spread = F.pmod(F.xxhash64("id", "size", "nth", F.lit(seed)), F.col("ways"))
+    settled = [x.where("size = 0 or part = 0").select("number", "id", "size", "nth", F.lit(0).alias("up"))]
 
-    now = x.where("size > 0 and part > 0").select("number", "bin", spread.alias("slot"), "id", "size", "part")
+    now = x.where("size > 0 and part > 0").select("number", "bin", spread.alias("slot"), "id", "size", "nth", "part")
     depth = by_bin.agg(F.max("docs")).first()[0] or 0
     level, groups = 0, max(1, -(-depth // GROUP))
     while True:
         key = ["number", "bin", "slot"] if level < 100 else ["number"]
-        draw = _draw(level, seed, "id", "size")
-        docs_ = F.sort_array(F.collect_list(F.struct("size", draw.alias("draw"), "id", "part"))).alias("docs")
+        draw = _draw(level, seed, "id", "size", "nth")
+        docs_ = F.sort_array(F.collect_list(F.struct("size", draw.alias("draw"), "id", "nth", "part"))).alias("docs")
         folded = now.groupBy(*key).agg(docs_).select(*key, F.expr(_fold(level)).alias("f"))
         folded = Cut(folded, f"level{level}").df
         for name, up in (("lost", 0), ("won", 1)):
-            settled.append(folded.select("number", F.explode(f"f.{name}").alias("d")).select("number", "d.id", "d.size", F.lit(up).alias("up")))
-        left = folded.select(*key, "f.held.id", "f.held.size", F.col("f.mass").alias("part"))
+            settled.append(folded.select("number", F.explode(f"f.{name}").alias("d")).select("number", "d.id", "d.size", "d.nth", F.lit(up).alias("up")))
+        left = folded.select(*key, "f.held.id", "f.held.size", "f.held.nth", F.col("f.mass").alias("part"))
         if level == 100:
             break
         if groups > 1:
@@ -112,7 +126,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         else:  # one group a size class is left: the classes of a source, of which there are a hundred at most, meet
             now, level = left, 100
     # What remains of a source is rounded by itself.
-    settled.append(left.select("number", "id", "size", (_draw(101, seed, "id", "size") < F.col("part")).cast("int").alias("up")))
+    settled.append(left.select("number", "id", "size", "nth", (_draw(101, seed, "id", "size", "nth") < F.col("part")).cast("int").alias("up")))
     done = settled[0]
     for more in settled[1:]:
         done = done.unionByName(more)
