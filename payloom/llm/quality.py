@@ -1,17 +1,17 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A document's terms are hashed byte trigrams of its whole text, and terms of its form: shares of capitals, symbols, digits
-and white space, how long its words are, how often a word follows itself, how few distinct trigrams it has. Both are
-weighted by inverse document frequency over the labelled sample and projected on its leading singular vectors. The
-labelled vectors (a bounded number of short ones) are broadcast; every document is compared with all of them by exact
-cosine products, in blocks, and its NEAREST neighbours vote with their labels, weighted by a power of their similarity.
+A document's terms are the hashed byte trigrams of its whole text, with a mark where it begins and ends, and a term for
+each of a few distances at which a word occurs again. Square roots of their counts, weighted by inverse document
+frequency over the labelled sample, are projected on its leading singular vectors. The labelled vectors (a bounded number of short ones) are broadcast; every document is compared with all of them
+by exact cosine products, in blocks, and its NEAREST neighbours vote with their labels, weighted by a power of their
+similarity.
 
 The labelled sample is LABELLED rows at most, those with the smallest hash of their id; labels that are not 0 or 1 count
-as missing.
+as missing, as do ids that bear both.
 
-Defined results: null texts are empty ones; an empty text has a vector of form terms only and is scored by its
-neighbours too; without labelled rows every score is 0.5; ties among neighbours go to the smaller hash of the id;
-repeated rows are scored alike; texts of any length are read whole; an empty table gives an empty result.
+Defined results: null texts are empty ones; an empty text has its marks as terms and is scored by its neighbours too;
+without labelled rows every score is 0.5; neighbours whose similarities agree to TIE are ties, which go to the smaller
+hash of the id; repeated rows are scored alike; texts of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,55 +26,37 @@ from pyspark.sql import functions as F
 from .common import share, shared, smallest_hashes, utf8_of
 from .shingles import _Powers, word_hashes
 
-#: Bound of the labelled sample, hashed trigram terms, latent dimensions, neighbours, power of the similarity.
-LABELLED, TERMS, LATENT, NEAREST, POWER = 4096, 2048, 48, 9, 4
-#: Form measures, and soft bins of each.
-MEASURES, BINS = 9, 8
+#: Bound of the labelled sample, hashed trigram terms, latent dimensions, neighbours, power of the similarity, ties.
+LABELLED, TERMS, LATENT, NEAREST, POWER, TIE = 4096, 2048, 48, 9, 4, 1e-5
+#: Distances in words at which a repeated word counts, and what such a count weighs (a word has several trigrams).
+AGAIN, AGAIN_WEIGHT = (1, 2, 3), 8
 CHUNK_BYTES = 2_000_000
-
-_UPPER = np.isin(np.arange(256), np.arange(65, 91))
-_LETTER = _UPPER | np.isin(np.arange(256), np.arange(97, 123)) | (np.arange(256) >= 128)
-_DIGIT = np.isin(np.arange(256), np.arange(48, 58))
-_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-_SYMBOL = ~(_LETTER | _DIGIT | _SPACE) & ~np.isin(np.arange(256), [ord(c) for c in ".,;:'\"-()"])
-#: Fixed weights that hash a trigram of bytes.
-_A, _B, _C = 2654435761, 40503, 2246822519
-
-
-def _form(b: np.ndarray, words: np.ndarray, hits: np.ndarray) -> list[float]:
-    n = max(1, len(b))
-    letters = max(1, np.count_nonzero(_LETTER[b]))
-    again = np.count_nonzero(words[1:] == words[:-1]) / max(1, len(words) - 1)
-    distinct = len(np.unique(words)) / max(1, len(words))
-    return [
-        np.count_nonzero(_UPPER[b]) / letters, min(1, 4 * np.count_nonzero(_SYMBOL[b]) / n), min(1, 8 * np.count_nonzero(_DIGIT[b]) / n),
-        min(1, 2 * np.count_nonzero(_SPACE[b]) / n), again, distinct, np.log1p(len(words)) / 11,
-        min(1, len(b) / (16 * max(1, len(words)))), np.count_nonzero(hits) / min(len(hits), n),
-    ]
+#: Fixed weights that hash a trigram of bytes, and the mark of a text's ends, which is no byte of UTF-8.
+_A, _B, _C = 2654435761, 40503 * 65537 % 2**32, 2246822519
+_MARK = 255
 
 
 def features(texts: pa.Array) -> Iterator[np.ndarray]:
-    """A row (TERMS + MEASURES * BINS) for each text: square roots of trigram counts, and soft bins of its form."""
+    """A row of TERMS and AGAIN for each text: square roots of counts."""
     data, offsets = utf8_of(texts)
-    powers, start, rows = _Powers(), 0, len(offsets) - 1
-    centres = np.linspace(0, 1, BINS)
+    start, rows, powers = 0, len(offsets) - 1, _Powers()
     while start < rows:
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + CHUNK_BYTES, "right")) - 1)
         end = min(end, start + 512)
-        part, at = data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]
-        words, word_at = word_hashes(part, at, powers)
-        wide = part.astype(np.uint32)
-        tri = np.zeros(len(part), np.int64)
-        if len(part) > 2:
-            h = wide[:-2] * np.uint32(_A) + wide[1:-1] * np.uint32(_B * 65537 % 2**32) + wide[2:] * np.uint32(_C)
-            tri[:-2] = (h >> np.uint32(12)) % np.uint32(TERMS)
-        out = np.zeros((end - start, TERMS + MEASURES * BINS), np.float32)
+        size = np.diff(offsets[start : end + 1]) + 2
+        at = np.cumsum(size) - size
+        wide = np.full(size.sum(), _MARK, np.uint32)
+        inside = np.ones(len(wide), bool)
+        inside[at] = inside[at + size - 1] = False
+        wide[inside] = data[offsets[start] : offsets[end]]
+        h = np.zeros(len(wide), np.int64)
+        h[:-2] = ((wide[:-2] * np.uint32(_A) + wide[1:-1] * np.uint32(_B) + wide[2:] * np.uint32(_C)) >> np.uint32(12)) % np.uint32(TERMS)
+        words, first = word_hashes(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start], powers)
+        out = np.zeros((end - start, TERMS + len(AGAIN)), np.float32)
         for i in range(end - start):
-            a, b = at[i], at[i + 1]
-            counts = np.bincount(tri[a : max(a, b - 2)], minlength=TERMS)
-            np.sqrt(counts, out=out[i, :TERMS], casting="unsafe")
-            form = np.array(_form(part[a:b], words[word_at[i] : word_at[i + 1]], counts))
-            out[i, TERMS:] = np.exp(-(((form[:, None] - centres) * (BINS - 1)) ** 2)).ravel()
+            np.sqrt(np.bincount(h[at[i] : at[i] + max(1, size[i] - 2)], minlength=TERMS), out=out[i, :TERMS], casting="unsafe")
+            own = words[first[i] : first[i + 1]]
+            out[i, TERMS:] = np.sqrt([AGAIN_WEIGHT * np.count_nonzero(own[far:] == own[:-far]) for far in AGAIN])
         yield out
         start = end
 
@@ -83,8 +65,7 @@ class Model:
     """Weights of terms, projection, labelled latent vectors and their labels."""
 
     def __init__(self, rows: np.ndarray, labels: np.ndarray, seed: int = 9):
-        shown = np.count_nonzero(rows[:, :TERMS] > 0, axis=0)
-        self.weight = np.concatenate([np.log1p(len(rows) / (1 + shown)), np.ones(MEASURES * BINS)]).astype(np.float32)
+        self.weight = np.log1p(len(rows) / (1 + np.count_nonzero(rows > 0, axis=0))).astype(np.float32)
         x = self.weighted(rows)
         rng = np.random.default_rng(seed)
         k = min(LATENT, *x.shape)
@@ -96,11 +77,8 @@ class Model:
         self.known, self.labels = self.latent(rows), labels.astype(np.float32)
 
     def weighted(self, rows: np.ndarray) -> np.ndarray:
-        """Trigram terms and form terms, each part of length 1 (form twice as heavy)."""
         x = rows * self.weight
-        for part, size in ((x[:, :TERMS], 1.0), (x[:, TERMS:], 2.0)):
-            part *= size / np.maximum(1e-12, np.sqrt((part * part).sum(axis=1, keepdims=True)))
-        return x
+        return x / np.maximum(1e-12, np.sqrt((x * x).sum(axis=1, keepdims=True)))
 
     def latent(self, rows: np.ndarray) -> np.ndarray:
         z = self.weighted(rows) @ self.axes
@@ -109,7 +87,9 @@ class Model:
     def scores(self, rows: np.ndarray) -> np.ndarray:
         cosine = self.latent(rows) @ self.known.T
         k = min(NEAREST, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        # Labelled rows are in order of their hashes, so a stable order settles ties.
+        rounded = np.rint(cosine / TIE)
+        near = np.argsort(-rounded, axis=1, kind="stable")[:, :k]
         vote = np.maximum(1e-9, np.take_along_axis(cosine, near, axis=1)) ** POWER
         return np.clip((vote * self.labels[near]).sum(axis=1) / vote.sum(axis=1), 0, 1)
 
@@ -125,10 +105,11 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text") -> Model | None:
     """A model from LABELLED rows at most of ``docs`` joined with ``labels``."""
     sample = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(id_col), F.lit(6)).alias("h"))
-    sample = smallest_hashes(sample.dropDuplicates(["__id"]), "h", LABELLED)
+    sample = sample.groupBy("__id", "h").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
+    sample = smallest_hashes(sample, "h", LABELLED, "__id")
     docs = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
     rows = docs.join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select("h", "label", "text")
-    found = rows.mapInArrow(_feature_rows, "h long, label int, row binary").orderBy("h").toArrow()
+    found = rows.mapInArrow(_feature_rows, "h long, label int, row binary").orderBy("h", "label", "row").toArrow()
     if not len(found):
         return None
     x = np.stack([np.frombuffer(r.as_buffer(), np.float32) for r in found.column("row")])
