@@ -332,6 +332,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, lowest: DataFrame, k: int, perc
     idents = pairs.select("ident").unionByName(pairs.select(F.col("lead").alias("ident"))).distinct()
     wanted = _filter_of(idents.join(lowest, "ident").select(F.col("low").alias("doc_id")), pairs.sparkSession)
     sets = Cut(docs.mapInArrow(lambda it: _candidate_sets(it, k, wanted), "ident long, tokens array<long>"), "sets").df
+    wanted.destroy()  # the table is written, so nothing is made anew from it
     one, two = sets.select("ident", F.col("tokens").alias("a")), sets.select(F.col("ident").alias("lead"), F.col("tokens").alias("b"))
     same = F.size(F.array_intersect("a", "b"))
     alike = pairs.join(one, "ident").join(two, "lead").where(same * 100 >= (F.size("a") + F.size("b") - same) * percent)
@@ -353,6 +354,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     sigs = docs.select("text").mapInArrow(lambda it: _signature_rows(it, k, percent, heavy), "sig long, ident long, n int, rare int")
     shared = Cut(sigs.repartition("sig").mapInArrow(_shared_signatures, "sig long, ident long, n int, rare int, lead long, lead_n int, lead_rare int"), "shared").df
+    heavy.destroy()
     # Sets that meet at frequent tokens have all their rare ones indexed. If they share none of these, all of them differ;
     # if they do share one, they meet there.
     few = (F.col("rare") < 0) | ((F.col("rare") + F.col("lead_rare")) * (100 + percent) <= (F.col("n") + F.col("lead_n")) * (100 - percent))

@@ -200,6 +200,7 @@ def near_components(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     both = pairs.join(tiles.select(F.col("tile").alias("one"), "n", "ids", "weights", "rows"), "one").join(other, "two", "left")
     both = both.select("n", "ids", "weights", "rows", "other_ids", "other_weights", "other_rows", "one", "two").repartition("one", "two")
     found = Cut(both.mapInArrow(lambda it: _compare(it, axes, least), "id long, far long, links long"), "found").df
+    axes.destroy()  # the table is written, so nothing is made anew from it
 
     label = components(found.where("far is not null").select(F.col("id").alias("u"), F.col("far").alias("v")))
     links = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))

@@ -170,8 +170,41 @@ def test_pipeline(spark):
 def test_pipeline_of_messy_and_no_rows(spark, messy, empty):
     import corpus_pipeline
 
-    for docs in (messy, empty):
-        for _, stage in corpus_pipeline.STAGES:
+    counts = {}
+    for which, docs in (("messy", messy), ("empty", empty)):
+        for name, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, DATA)
             rows = docs.collect()
+            counts[which, name] = rows
             docs = spark.createDataFrame(rows, docs.schema)
+    assert not any(counts["empty", name] for name, _ in corpus_pipeline.STAGES)
+    kept = corpus_pipeline.near_duplicates(spark, messy, DATA).collect()
+    # Ids 5 (twice), null and 6 hold one text; the rest are alone, and the two rows of id 10 and 1 have no words.
+    assert sorted(str(r.doc_id) for r in kept) == sorted(map(str, (1, 2, 3, 4, 5, 7, 8, 9, 10)))
+    assert corpus_pipeline.secret_scan(spark, messy, DATA).count() == 12
+
+
+def test_stages_on_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    alike = [(None, "one two three four five six seven eight nine", "en", "a", 44)] * 3000
+    others = [(None, f"row {i} " + "w " * (i % 7), "en", "b", 20) for i in range(500)] + [(7, f"id seven {i} x", "en", None, 20) for i in range(300)]
+    docs = spark.createDataFrame(alike + others, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    size = sum(len(WORD.findall(r[1])) for r in alike + others)
+    mixed = corpus_pipeline.mix_sources(spark, docs, DATA).collect()
+    took = Counter(r.text for r in mixed)
+    assert abs(sum(len(WORD.findall(t)) * n for t, n in took.items()) - 1.5 * size) <= 40
+    assert all(n <= 2 for t, n in took.items() if t != alike[0][1]) and took[alike[0][1]] <= 6000
+    assert sorted(map(str, corpus_pipeline.mix_sources(spark, docs.repartition(3), DATA).collect())) == sorted(map(str, mixed))
+    kept = corpus_pipeline.near_duplicates(spark, docs, DATA)
+    assert kept.where(F.col("text") == alike[0][1]).count() == 1 and kept.count() <= 801
+    out = mixing.mix(docs)
+    assert out.count() == 3800 and out.agg(F.max("copies")).first()[0] <= 2
+
+
+def test_groups_of_rows_that_are_alike_stay_small(spark):
+    rows = spark.range(40_000).selectExpr("cast(null as long) as id", "'s' as source", "5L as size")
+    numbered = mixing._numbered(rows)
+    assert numbered.count() == 40_000 and numbered.distinct().count() == 40_000
+    slots = numbered.groupBy(F.pmod(F.xxhash64("id", "size", "nth", F.lit(17)), F.lit(313))).count()
+    assert slots.agg(F.max("count")).first()[0] < 4 * mixing.GROUP

@@ -3,6 +3,8 @@
 import hashlib
 import json
 import random
+import time
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -129,8 +131,42 @@ def test_neighbours_vote_as_brute_force_does(spark):
     for row, got in zip(z, model.scores(x)):
         cosine = model.known @ row
         near = np.argsort(-cosine, kind="stable")[: quality.NEAREST]
+        near = np.argsort(-np.rint(cosine / quality.TIE), kind="stable")[: quality.NEAREST]
         vote = np.maximum(1e-9, cosine[near]) ** quality.POWER
-        assert abs(got - (vote * model.labels[near]).sum() / vote.sum()) < 0.08  # ties at the edge may go either way
+        assert abs(got - (vote * model.labels[near]).sum() / vote.sum()) < 1e-3
+
+
+def test_quality_features_count_trigrams():
+    texts = ["", "a", "abc abc é", "x" * 10]
+    rows = np.concatenate(list(quality.features(pa.array([*texts, None]))))
+    for t, row in zip([*texts, ""], rows):
+        raw = [255, *t.encode(), 255]
+        want = Counter((a * quality._A + b * quality._B + c * quality._C) % 2**32 >> 12 for a, b, c in zip(raw, raw[1:], raw[2:])) or Counter({0: 1})
+        got = np.zeros(quality.TERMS)
+        for h, n in want.items():
+            got[h % quality.TERMS] += n
+        assert np.allclose(row[: quality.TERMS] ** 2, got, atol=1e-3) or not t
+    assert np.allclose(rows[2, quality.TERMS :] ** 2, [8, 0, 0], atol=1e-3)
+
+
+def test_labels_that_disagree_are_left_out(spark, messy):
+    model = quality.train(messy, labels_of(spark, [(4, 0), (5, 1), (9, 0), (9, 1)]))
+    assert len(model.labels) == 3 and sorted(model.labels) == [0, 1, 1]  # id 5 is two rows
+
+
+def test_samples_of_rows_that_are_alike(spark):
+    from payloom.llm.common import smallest_hashes
+
+    rows = spark.range(40_000).selectExpr("xxhash64(cast(null as long), 5) as h", "id")
+    assert smallest_hashes(rows, "h", 6000, "id").count() == 6000 and smallest_hashes(rows.where("false"), "h", 5).count() == 0
+    some = spark.range(50_000).selectExpr("xxhash64(id) as h")
+    assert [r.h for r in smallest_hashes(some, "h", 700).collect()] == sorted(r.h for r in some.collect())[:700]
+
+
+def test_language_of_rows_without_ids(spark):
+    docs = spark.range(9000).selectExpr("cast(null as long) as doc_id", "if(id % 2 = 0, 'the cat and the dog are here', 'der hund und die katze sind da') as text", "if(id % 2 = 0, 'en', 'de') as lang")
+    network = language.train(docs)
+    assert {(r.lang, r.lang_pred) for r in language.predict(docs, network, [F.col("lang")]).distinct().select("lang", "lang_pred").collect()} == {("en", "en"), ("de", "de")}
 
 
 def test_language(spark, messy, empty):
@@ -233,3 +269,31 @@ def test_secrets_of_any_form_after_announcing_words(spark, forest):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: (r.start, r.secret) for r in secrets.scan(docs, forest).collect()} == {i: (texts[i].rindex(s) + 1, s) for i, s in found.items()}
     assert {r.doc_id: r.text for r in secrets.mask(docs, forest).collect()}[3] == "DB_PASSWD=[SECRET]"
+
+
+def test_secrets_of_other_kinds(spark, forest):
+    letters = "QmKLmnWcoPabeXyZqRtVbNsDfGhJkLpOiUyTrEwQ"
+    long = "qWeRtYuIoPaSdFgHjKlZxCvBnM" * 3 + "7f3a9"
+    texts = {1: ("db at postgres://admin:S3cretPassw0rd!@db.example/x", "S3cretPassw0rd!"), 2: (f"use {letters} for it", letters), 3: (f"a {long} b", long), 4: ("secret: token: abc123XYZ9", "abc123XYZ9"), 5: ("api_key: abcdefGH1234567", "abcdefGH1234567"), 6: ("internationalisation and Donaudampfschifffahrtsgesellschaft, some_function_name_here", None), 7: ("-" * 90 + " " + "_" * 40, None), 8: ("see http://host:8080/path@x", None)}
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    assert {(r.doc_id, r.start, r.secret) for r in secrets.scan(docs, forest).collect()} == {(i, t.rindex(s) + 1, s) for i, (t, s) in texts.items() if s}
+
+
+def test_planted_secrets_are_found_and_nothing_else(spark, forest):
+    """By a pattern over all documents: every value that is announced as a token; and no finding beside these."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {(r.doc_id, m.start(1) + 1, m[1]) for r in docs.collect() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text or "")}
+    assert {(r.doc_id, r.start, r.secret) for r in secrets.scan(docs, forest).collect()} == want and want
+
+
+def test_a_text_of_many_candidates(spark, forest):
+    rng = random.Random(1)
+    text = " ".join(f'token = "{rng.getrandbits(128):032x}"' for _ in range(4000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    rows = secrets.scan(docs, forest).collect()
+    assert len(rows) == 4000 and all(text[r.start - 1 : r.start - 1 + r.length] == r.secret for r in rows)
+    assert secrets.mask(docs, forest).first().text == " ".join(['token = "[SECRET]"'] * 4000)
+    assert time.perf_counter() - began < 40
