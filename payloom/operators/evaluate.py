@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,17 +48,34 @@ def row_scores(pairs: DataFrame, cells: tuple[str, ...]) -> DataFrame:
     return x.select("tp", "fp", "fn", *_scores(F.col("tp"), F.col("fp"), F.col("fn")), F.round(F.coalesce(F.try_divide("right", "cells"), F.lit(0.0)), 6).alias("cell_accuracy"))
 
 
+#: Ranges of values that are counted to find percentiles.
+RANGES = 4096
+
+
 def latencies(x: DataFrame, ms: str) -> DataFrame:
     """E-4: the median and the 95th percentile, which is the element at floor(0.95 n) - 1 of the sorted list. Values are
-    counted first, so that a few numbers are walked and no list is made."""
+    counted, first by ranges (RANGES numbers reach the driver), and only values of the ranges that hold the elements asked
+    for are put in order."""
     from pyspark.sql import Window
 
     counts = x.where(F.col(ms).isNotNull()).groupBy(F.col(ms).alias("v")).agg(F.count("*").alias("c"))
-    run = F.sum("c").over(Window.orderBy("v"))
-    y = counts.withColumn("upto", run).crossJoin(F.broadcast(counts.agg(F.sum("c").alias("n"))))
-    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
-    place = F.greatest(F.lit(0), F.floor(0.95 * F.col("n")).cast("long") - 1)
-    return y.agg(F.max("n").alias("n"), F.round((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2, 4).alias("p50"), at(place).alias("p95"))
+    low, high, n = counts.agg(F.min("v"), F.max("v"), F.sum("c")).first()
+    if not n:
+        return counts.agg(F.sum("c").alias("n"), F.max("v").alias("p50"), F.max("v").alias("p95"))
+    place = F.least(F.lit(RANGES - 1), F.floor((F.col("v") - low) / (float(high - low) / RANGES or 1.0))).cast("int")
+    held = sorted(counts.groupBy(place.alias("place")).agg(F.sum("c")).collect())
+    found = {}
+    for k in ((n - 1) // 2, n // 2, max(0, int(0.95 * n) - 1)):
+        before = 0
+        for range_, c in held:
+            if before + c > k:
+                break
+            before += c
+        found[k] = (range_, k - before)
+    near = counts.withColumn("place", place).where(F.col("place").isin([r for r, _ in found.values()]))
+    near = near.withColumn("upto", F.sum("c").over(Window.partitionBy("place").orderBy("v")))
+    at = lambda k: F.min(F.when((F.col("place") == found[k][0]) & (F.col("upto") > found[k][1]), F.col("v")))
+    return near.agg(F.lit(n).alias("n"), F.round((at((n - 1) // 2) + at(n // 2)) / 2, 4).alias("p50"), at(max(0, int(0.95 * n) - 1)).alias("p95"))
 
 
 def sources(x: DataFrame) -> DataFrame:
@@ -65,12 +84,32 @@ def sources(x: DataFrame) -> DataFrame:
     return x.groupBy("source").agg(F.count("*").alias("documents")).crossJoin(F.broadcast(total)).select("source", "documents", F.round(F.col("documents") / F.col("n"), 6).alias("share"))
 
 
+#: Code points from which on words are spelled: two planes beyond all text, 131 068 characters, are private.
+_PRIVATE, _WORDS = 0xF0000, 60_000
+
+
 def word_distance(a: Column, b: Column) -> Column:
     """F-16 over words: each distinct word of both texts is one character of a private alphabet, then characters are
-    compared. Texts of more distinct words than that alphabet holds give null."""
+    compared. Pairs of more distinct words than it holds go word by word through an Arrow function instead."""
+    @F.pandas_udf("int")
+    def by_word(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(s, t):
+            if s is None or t is None:
+                return None
+            s, t = np.unique(np.array([*s.split(" "), *t.split(" ")]), return_inverse=True)[1], len(s.split(" "))
+            s, t = s[:t], s[t:]
+            row, steps = np.arange(len(t) + 1), np.arange(len(t) + 1)
+            for i, w in enumerate(s):
+                least = np.minimum(row[1:] + 1, row[:-1] + (t != w))
+                row = np.minimum.accumulate(np.concatenate([[i + 1], least]) - steps) + steps
+            return int(row[-1])
+
+        return pd.Series([one(s, t) for s, t in zip(x, y)], dtype="Int32")
+
     words = F.array_distinct(F.concat(F.split(a, " "), F.split(b, " ")))
-    coded = lambda t: F.array_join(F.transform(F.split(t, " "), lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, w) + 0x3400), 8, "0")), "UTF-32")), "")
-    return F.when(F.size(words) < 20_000, F.levenshtein(coded(a), coded(b)))
+    coded = lambda t: F.array_join(F.transform(F.split(t, " "), lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, w) + _PRIVATE), 8, "0")), "UTF-32")), "")
+    many = F.size(words) >= _WORDS
+    return F.coalesce(F.when(~many, F.levenshtein(coded(a), coded(b))), by_word(F.when(many, a), F.when(many, b)))
 
 
 def text_rates(x: DataFrame) -> DataFrame:

@@ -132,6 +132,7 @@ def outstanding(invoices: DataFrame, payments: DataFrame) -> DataFrame:
 
 def po_totals(items: DataFrame) -> DataFrame:
     """A-16: the subtotal of an order's lines, each its total or quantity times price, and the tax on them."""
-    line = F.coalesce(F.lit(None).cast(MONEY), (F.col("quantity") * F.col("unit_price")).cast(MONEY))
+    stated = F.col("line_total") if "line_total" in items.columns else F.lit(None).cast(MONEY)
+    line = F.coalesce(stated, (F.col("quantity") * F.col("unit_price")).cast(MONEY))
     x = items.withColumn("line", line).withColumn("tax", (F.col("line") * F.coalesce("tax_rate", F.lit(0)) / 100).cast(MONEY))
     return x.groupBy("po_id").agg(F.sum("line").cast(MONEY).alias("subtotal"), F.sum("tax").cast(MONEY).alias("tax_total"), (F.sum("line") + F.sum("tax")).cast(MONEY).alias("total"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from payloom.plans import documents, matching, money
+from payloom.plans import documents, matching, money, service
 from payloom.plans.register import ORACLES, QUERIES
 
-__all__ = ["documents", "matching", "money"]
+__all__ = ["documents", "matching", "money", "service"]
 
 
 def queries() -> dict:

@@ -75,28 +75,29 @@ def _qr(spark, d):
     """Payloads: JSON, a URL's query, pairs, and base64url of JSON, with some totals off by one."""
     i = V.invoices(spark, d).join(V.vendors(spark, d).select("tenant_id", "vendor_id", "gstin"), ["tenant_id", "vendor_id"], "left")
     k, total = F.col("invoice_id"), (F.col("grand_total") + F.when(F.col("invoice_id") % 10 == 0, 2).otherwise(0)).cast(V.MONEY).cast("string")
-    json = F.to_json(F.struct(F.col("invoice_number").alias("DocNo"), F.col("invoice_date").cast("string").alias("DocDt"), F.col("gstin").alias("SellerGstin"), total.alias("TotInvVal")))
+    json = F.to_json(F.struct(F.lit("1.1").alias("Version"), F.struct(F.col("invoice_number").alias("DocNo"), F.col("invoice_date").cast("string").alias("DocDt"), F.struct(F.col("gstin").alias("SellerGstin")).alias("Parties")).alias("Data"), total.alias("TotInvVal"), F.lit("irn-1").alias("Irn")))
     tax = F.coalesce("gstin", F.lit(""))
-    url = F.concat(F.lit("https://pay.example/qr?docno=x&invoice_no="), "invoice_number", F.lit("&date="), F.col("invoice_date").cast("string"), F.lit("&sellergstin="), tax, F.lit("&total="), total)
-    pairs = F.concat(F.lit("Invoice No: "), "invoice_number", F.lit("|Date="), F.col("invoice_date").cast("string"), F.lit(";Seller GSTIN="), tax, F.lit("|Grand Total="), total)
+    url = F.concat(F.lit("https://pay.example/qr?docno=x&invoice_no="), "invoice_number", F.lit("&invoice%20date="), F.col("invoice_date").cast("string"), F.lit("&sellergstin="), tax, F.lit("&total="), total)
+    pairs = F.concat(F.lit("Invoice No: "), "invoice_number", F.lit("|Invoice Date="), F.col("invoice_date").cast("string"), F.lit(";Seller GSTIN="), tax, F.lit("|Grand Total="), total)
     coded = F.translate(F.base64(json.cast("binary")), "+/\n\r", "-_")
     return i.select(k, "invoice_number", "invoice_date", "gstin", "grand_total", F.element_at(F.array(json, url, pairs, coded), (k % 4 + 1).cast("int")).alias("payload"))
 
 
-@query(with_views("invoices vendors", """ select invoice_id, case when invoice_id % 4 = 1 then 'x' else invoice_number end as qr_number, cast(invoice_date as varchar) as qr_date, case when invoice_id % 4 in (1, 2) then coalesce(gstin, '') else gstin end as qr_gstin, cast(cast(grand_total + case when invoice_id % 10 = 0 then 2 else 0 end as decimal(18,2)) as varchar) as qr_total
+@query(with_views("invoices vendors", """ select invoice_id, case when invoice_id % 4 = 1 then 'x' else invoice_number end as qr_number, cast(invoice_date as varchar) as qr_date, gstin as qr_gstin, cast(cast(grand_total + case when invoice_id % 10 = 0 then 2 else 0 end as decimal(18,2)) as varchar) as qr_total, case when invoice_id % 4 in (0, 3) then 'irn-1' end as qr_irn
 from invoices i left join vendors v on v.tenant_id = i.tenant_id and v.vendor_id = i.vendor_id"""))
 def qr_fields(spark, d):
     x = _qr(spark, d).withColumn("f", S.qr_fields(F.col("payload")))
     name = lambda n: S.qr_field(F.col("f"), n)
-    return x.select("invoice_id", name("invoice_number").alias("qr_number"), name("invoice_date").alias("qr_date"), name("seller_gstin").alias("qr_gstin"), name("total").alias("qr_total"))
+    return x.select("invoice_id", name("invoice_number").alias("qr_number"), name("invoice_date").alias("qr_date"), name("seller_gstin").alias("qr_gstin"), name("grand_total").alias("qr_total"), name("irn").alias("qr_irn"))
 
 
-@query(with_views("invoices", """ select invoice_id, case when invoice_id % 10 = 0 then 'mismatch' else 'match' end as status, cast(case when invoice_id % 10 = 0 then 2 else 0 end as decimal(18,2)) as difference from invoices where invoice_id % 4 <> 1"""))
+@query(with_views("invoices vendors", """ select invoice_id, case when invoice_id % 10 = 0 or invoice_id % 4 = 1 then 'mismatch' else 'match' end as status, case when invoice_id % 10 = 0 then cast(2 as decimal(18,2)) end as difference,
+cast(3 + (gstin is not null)::int as integer) as compared, case when gstin is not null and i.invoice_id % 9 = 0 then 1 else 0 end as not_comparable from invoices i left join vendors v on v.tenant_id = i.tenant_id and v.vendor_id = i.vendor_id"""))
 def qr_compare(spark, d):
     x = _qr(spark, d).withColumn("f", S.qr_fields(F.col("payload")))
-    total = S.number(S.qr_field(F.col("f"), "total"), None)
-    same = (S.match_key(S.qr_field(F.col("f"), "invoice_number")) == S.match_key(F.col("invoice_number"))) & (S.invoice_date(S.qr_field(F.col("f"), "invoice_date")) == F.col("invoice_date")) & (F.abs(total - F.col("grand_total")) <= 1)
-    return x.select("invoice_id", F.when(same, "match").otherwise("mismatch").alias("status"), F.abs(total - F.col("grand_total")).cast(V.MONEY).alias("difference"))
+    known = {"invoice_number": F.lower("invoice_number"), "invoice_date": F.date_format("invoice_date", "dd/MM/yyyy"), "seller_gstin": F.when(F.col("invoice_id") % 9 != 0, F.lower("gstin")), "grand_total": F.concat(F.lit("INR "), F.format_number("grand_total", 2))}
+    y = x.withColumn("c", S.qr_comparison(F.col("f"), known))
+    return y.select("invoice_id", S.qr_status(F.col("c")).alias("status"), F.get(F.filter("c", lambda r: r["field"] == "grand_total"), F.lit(0))["difference"].alias("difference"), F.size("c").alias("compared"), F.size(F.filter("c", lambda r: r["status"] == "not_comparable")).alias("not_comparable"))
 
 
 @query("""with x as (select doc_id, source, lang, sha256(coalesce(text, '')) as hash from documents), y as (select *, row_number() over (partition by source, hash order by doc_id desc) as place from x) select doc_id, hash from y where place = 1""")
@@ -135,7 +136,7 @@ def import_pos(spark, d):
     return good.select("tenant_id", "row", F.lit(None).cast("string").alias("error")).unionByName(bad)
 
 
-@query("""select event_id as document_id, 'grand_total' as field, cast(event_id as varchar) as predicted, case when event_id % 2 = 0 then '"' || event_type || '"' else '{"k":' || (event_id % 10) || '}' end as correct from events where event_id % 5 = 0""")
+@query("""select event_id as document_id, 'grand_total' as field, cast(event_id as varchar) as predicted, case when event_id % 2 = 0 then '"' || event_type || '"' else '{"k":' || (event_id % 10) || '}' end as correct from events""")
 def corrections(spark, d):
     k = F.col("event_id")
     x = V.table(spark, d, "events").select(k.alias("document_id"), F.lit("grand_total").alias("path"), k.cast("string").alias("old_value"), F.when(k % 2 == 0, F.col("event_type")).otherwise(F.concat(F.lit('{"k": '), (k % 10).cast("string"), F.lit("}"))).alias("new_value"), F.col("ts").alias("created_at"))
@@ -236,6 +237,16 @@ def structured_items(spark, d):
     return X.structured_items(tables).select("doc_id", "row_no", "description", "quantity", "unit_price", "line_total")
 
 
+@query("""with h(key, want) as (values ('Item Description', 'description'), ('Product Price', 'description'), ('Item Total', 'description'), ('Unit Rate', 'unit_price'), ('RATE', 'unit_price'), ('Qty.', 'quantity'), ('Quantity', 'quantity'), ('HSN/SAC', 'hsn_sac'), ('GST %', 'gst_rate'), ('Tax Rate', 'gst_rate'), ('GST Amount', 'tax_amount'), ('Tax Amount (INR)', 'tax_amount'), ('Line Total', 'line_total'), ('Value', 'line_total'), ('Discount', 'discount'), ('Discount Amount', 'line_total'), ('Sr.', null), ('Service charge', 'description'), ('Unit Price', 'unit_price'), ('Amount', 'line_total')),
+n as (select key, want, row_number() over (order by key) - 1 as i from h) select c_custkey, key as header, want as column_key, want is not null and want in ('quantity', 'unit_price') as measured, cast(0.45 + 0.1 * (c_custkey % 6) as double) as confidence from customer join n on n.i = c_custkey % 20""")
+def header_keys(spark, d):
+    heads = sorted(["Item Description", "Product Price", "Item Total", "Unit Rate", "RATE", "Qty.", "Quantity", "HSN/SAC", "GST %", "Tax Rate", "GST Amount", "Tax Amount (INR)", "Line Total", "Value", "Discount", "Discount Amount", "Sr.", "Service charge", "Unit Price", "Amount"])
+    x = V.table(spark, d, "customer").select("c_custkey", F.element_at(F.array(*map(F.lit, heads)), (F.col("c_custkey") % 20 + 1).cast("int")).alias("header"))
+    seen = [F.when(F.col("c_custkey") % 6 > i, F.lit(1)) for i in range(5)]
+    key = S.header_key(F.col("header"))
+    return x.select("c_custkey", "header", key.alias("column_key"), F.coalesce(key.isin("quantity", "unit_price"), F.lit(False)).alias("measured"), S.item_confidence(*seen).alias("confidence"))
+
+
 @query()
 def heuristic_items(spark, d):
     items = V.invoice_items(spark, d)

@@ -31,7 +31,7 @@ def test_keys_and_tax_identifiers(spark):
 
 
 def test_numbers(spark):
-    for text, value in (("1.234,56", "1234.56"), ("1,234.56", "1234.56"), ("1,23,456.00", "123456.00"), ("12,50", "12.50"), ("1,234", "1234.00"), ("", "0.00"), ("-", "0.00"), ("1 234.50", "1234.50")):
+    for text, value in (("1.234,56", "1234.56"), ("1,234.56", "1234.56"), ("1,23,456.00", "123456.00"), ("12,50", "12.50"), ("1,234", "1234.00"), ("1,234,56", "0.00"), ("1,234,567", "1234567.00"), ("", "0.00"), ("-", "0.00"), ("1 234.50", "1234.50")):
         assert one(spark, S.number(F.col("x")), x=text) == Decimal(value), text
     assert one(spark, S.number(F.col("x"), None), x="abc") is None
     assert one(spark, S.percent(F.col("x")), x="GST 18 %") == Decimal("18.000")
@@ -71,12 +71,34 @@ def test_workflow(spark):
     assert {r.invoice_id: (r.status, r.done, r.refused) for r in rules.fold_actions(log).collect()} == {1: ("rejected", 3, 1), 2: ("paid", 3, 1)}
 
 
+def test_audit_holds_every_transition(spark):
+    log = spark.createDataFrame([(1, i, a) for i, a in enumerate(["hold", "release", "reject", "hold"])], "invoice_id long, at int, action string")
+    assert [(r.step, r.from_status, r.to_status) for r in rules.audit(log).orderBy("step").collect()] == [(0, "review_required", "on_hold"), (1, "on_hold", "review_required"), (2, "review_required", "rejected")]
+
+
 def test_payments(spark):
-    inv = spark.createDataFrame([(1, Decimal("118.00"))], "invoice_id long, grand_total decimal(18,2)")
-    for amounts, left, status in (([59, 59], 0, "paid"), ([59], 59, "awaiting_payment"), ([59, 200], 59, "awaiting_payment")):
-        pay = spark.createDataFrame([(1, Decimal(a)) for a in amounts], "invoice_id long, amount decimal(18,2)")
+    for status, amounts, left, after in (("awaiting_payment", [59, 59], 0, "paid"), ("approved", [59], 59, "awaiting_payment"), ("awaiting_payment", [100, 59, 18], 0, "paid"), ("awaiting_payment", [59, 200, -1], 59, "awaiting_payment"), ("review_required", [59], 118, "review_required")):
+        inv = spark.createDataFrame([(1, status, Decimal("118.00"))], "invoice_id long, status string, balance decimal(18,2)")
+        pay = spark.createDataFrame([(1, i, Decimal(a)) for i, a in enumerate(amounts)], "invoice_id long, at int, amount decimal(18,2)")
         r = rules.fold_payments(inv, pay).first()
-        assert (r.outstanding, r.status) == (left, status)
+        assert (r.outstanding, r.status) == (left, after), amounts
+
+
+def test_nested_qr_payload(spark):
+    payload = '{"data": {"DocNo": "INV-1", "Parties": {"SellerGstin": "27aapfu0939f1zv"}, "TotInvVal": 59001}, "AckNo": ""}'
+    fields = S.qr_fields(F.col("x"))
+    known = {"invoice_number": F.lit("inv/1"), "seller_gstin": F.lit("27AAPFU0939F1ZV"), "grand_total": F.lit("59000.00"), "buyer_gstin": F.lit("x")}
+    r = spark.range(1).select(F.lit(payload).alias("x")).select(fields.alias("f")).select(S.qr_comparison(F.col("f"), known).alias("c"), S.qr_field(F.col("f"), "ack_number").alias("ack")).first()
+    assert {(c.field, c.status, c.difference) for c in r.c} == {("invoice_number", "match", None), ("seller_gstin", "match", None), ("grand_total", "mismatch", Decimal("1.00"))} and r.ack is None
+
+
+def test_gst_mode_and_missing_subtotal(spark):
+    base = dict(invoice_id=1, invoice_number="N", vendor_name="V", grand_total=Decimal("10620"), subtotal=None, items_total=Decimal("9000"), discount_total=None, tax_sum=Decimal("1620"), tax_total=None, shipping=None, invoice_date=None, due_date=None, date_text="some day", gstin="27AAPFU0939F1ZV", buyer_gstin="29AAGCB7383J1Z4", pan=None, has_igst=False, has_split=True, has_cgst=False, has_sgst=False, currency="INR")
+    cases = [base, base | dict(invoice_id=2, has_split=False, has_igst=True), base | dict(invoice_id=3, has_split=False, has_cgst=True, buyer_gstin=None), base | dict(invoice_id=4, has_split=False, date_text=None)]
+    schema = "invoice_id long, invoice_number string, vendor_name string, grand_total decimal(18,2), subtotal decimal(18,2), items_total decimal(18,2), discount_total decimal(18,2), tax_sum decimal(18,2), tax_total decimal(18,2), shipping decimal(18,2), invoice_date date, due_date date, date_text string, gstin string, buyer_gstin string, pan string, has_igst boolean, has_split boolean, has_cgst boolean, has_sgst boolean, currency string"
+    found = rules.validations(spark.createDataFrame([tuple(c.values()) for c in cases], schema)).collect()
+    assert {(r.invoice_id, r.rule) for r in found if not r.passed} == {(1, "gst_mode_consistency"), (1, "date_parseable"), (2, "date_parseable"), (3, "gst_mode_consistency"), (3, "date_parseable")}
+    assert all(r.passed for r in found if r.rule in ("arithmetic", "duplicate_invoice"))
 
 
 def greedy(items, orders):
@@ -124,6 +146,12 @@ def test_tables_and_spans(spark):
     assert {(r.r, r.c): r.text for r in X.explode_spans(cells).collect()} == {(0, 0): "a", (1, 0): "a", (0, 1): "b"}
 
 
+def test_words_beyond_the_private_alphabet(spark, monkeypatch):
+    monkeypatch.setattr(E, "_WORDS", 2)
+    x = spark.createDataFrame([("the cat sat", "the cut sat on"), ("a", "a"), ("a b c d", "b c d"), ("", "x y"), ("a b", "c")], "expected string, predicted string")
+    assert E.text_rates(x).first().word_errors == 2 + 0 + 1 + 2 + 2
+
+
 def test_error_rates(spark):
     x = spark.createDataFrame([("the cat sat", "the cut sat on")], "expected string, predicted string")
     r = E.text_rates(x).first()
