@@ -297,3 +297,14 @@ def test_a_text_of_many_candidates(spark, forest):
     assert len(rows) == 4000 and all(text[r.start - 1 : r.start - 1 + r.length] == r.secret for r in rows)
     assert secrets.mask(docs, forest).first().text == " ".join(['token = "[SECRET]"'] * 4000)
     assert time.perf_counter() - began < 40
+
+
+def test_whole_licences_and_short_names(spark):
+    import textwrap
+
+    holder = "Copyright (c) 2021 Acme Corp\n\n"
+    rows = [(i, holder + "\n".join(textwrap.wrap(t, 72)), name) for i, (name, t) in enumerate(licences.TEXTS.items())]
+    rows += [(90, "// SPDX-License-Identifier: Apache-2.0\nint main", "Apache-2.0"), (91, "# SPDX-License-Identifier: ISC", "ISC"), (92, licences.TEXTS["Zlib"][:300], None)]
+    got = licences.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    assert {i for i, _, n in rows if n} == {r.doc_id for r in got if (r.doc_id, r.licence) in {(i, n) for i, _, n in rows}}
+    assert not [r for r in got if r.doc_id == 92]
