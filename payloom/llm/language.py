@@ -25,8 +25,8 @@ from .common import share, shared, smallest_hashes, utf8_of
 
 #: Bound of the training sample in documents, bytes of a window, filter widths and filters of each width.
 TRAIN_DOCS, WINDOW, WIDTHS, FILTERS = 6000, 256, (2, 3, 4), 10
-#: Windows that are scored at once.
-CHUNK = 512
+#: Windows that are scored at once, and rows of a batch whose texts are held as Python strings at once.
+CHUNK, ROWS = 128, 512
 
 
 def _byte_classes() -> np.ndarray:
@@ -154,7 +154,7 @@ def _predicted(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBa
 
     network, letter = shared(known), regex.compile(r"\p{L}")
     tables = network.tables() if network else None
-    for batch in batches:
+    for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, len(whole), ROWS)):
         text = batch.column(batch.num_columns - 1)
         has = np.array([bool(t) and letter.search(t) is not None and network is not None for t in text.to_pylist()], bool)
         data, offsets = utf8_of(text)
@@ -174,7 +174,7 @@ def _predicted(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBa
             todo.append(i)
             held.append(windows_of(data[offsets[i] : offsets[i + 1]]))
             total += len(held[-1])
-            if total > 4 * CHUNK:
+            if total > 16 * CHUNK:
                 run()
                 todo, held, total = [], [], 0
         if todo:
