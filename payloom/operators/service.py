@@ -35,7 +35,7 @@ def context(words: DataFrame, most: int = CONTEXT_WORDS, chars: int = CONTEXT_CH
 
 def distinct_lines(text: Column) -> Column:
     """U-4: a text's lines, each once, in the order in which they come first; blank ones left out."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda t: t != ""))
 
 
 def top_signals(signals: Column, most: int = SIGNALS) -> Column:

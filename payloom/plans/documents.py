@@ -314,3 +314,27 @@ def extraction(spark, d):
     text = F.concat_ws("\n", F.lit("TAX INVOICE"), F.concat(F.lit("Invoice No: "), "invoice_number"), F.concat(F.lit("Invoice Date: "), F.date_format("invoice_date", "dd/MM/yyyy")), F.concat(F.lit("GSTIN: "), "gstin"), F.lit("Seller:"), F.col("name"), F.lit("Bill To: someone"), F.lit("Subtotal 1.00"), F.concat(F.lit("Grand Total: ₹ "), F.format_number("grand_total", 2)))
     out = N.extract_text(x.select(F.col("invoice_id").alias("doc_id"), text.alias("text")))
     return out.select("doc_id", "invoice_number", F.col("invoice_day").cast("string").alias("invoice_day"), "gstin", "vendor_name", "grand_total")
+
+
+_VARIANTS = """, x as (select i.invoice_id as k, i.invoice_id % 3 as v, v.name as name from invoices i join vendors v on v.tenant_id = i.tenant_id and v.vendor_id = i.vendor_id)
+select k as doc_id, case when v = 0 then 'Messrs ' || name else name end as vendor_name, case when v = 0 then 'Buyer ' || k end as buyer_name, case when v = 0 then k || ' Road' end as billing_address, case v when 0 then 'IGST' when 1 then 'CGST_SGST' else case when k > 0 then 'VAT' end end as tax_type,
+cast(case v when 0 then k when 1 then 2 * k + 0.5 else k end as decimal(18,2)) as tax_total, cast(case v when 1 then 5 when 2 then k + 0.25 end as decimal(18,2)) as subtotal, cast(case v when 0 then k + 2.5 when 1 then 3 * k + 100 else 2 * k + 0.25 end as decimal(18,2)) as grand_total from x"""
+
+
+@query(with_views("invoices vendors", _VARIANTS))
+def extraction_variants(spark, d):
+    """Texts without the usual labels: names in the header, after tax numbers or beside the label; totals on the line after
+    the label, by words of a total, and with the tax left out; three ways to state taxes; subtotals from items."""
+    from payloom.operators import standard as N
+
+    k = F.col("invoice_id")
+    n, lines = k.cast("string"), lambda *c: F.concat_ws("\n", *[x if not isinstance(x, str) else F.lit(x) for x in c])
+    money = lambda amount, cents: F.concat(amount.cast("string"), F.lit(cents))
+    x = V.invoices(spark, d).join(V.vendors(spark, d), ["tenant_id", "vendor_id"])
+    header = lines("TAX INVOICE", F.concat(F.lit("Messrs "), "name"), F.concat(F.lit("Bill To: Buyer "), n), F.concat(n, F.lit(" Road")), "", "Ship To:", "Store", "", "TOTAL:", F.concat(money(k + 1, ".50 "), money(k + 2, ".50")), F.concat(F.lit("18% IGST ₹"), money(k, ".00")))
+    numbers = lines("Seller:", "GSTIN: 29ABCDE1234F1Z5", F.concat(F.lit("* "), "name"), "", "Subtotal 5", F.concat(F.lit("CGST @ 9% "), money(k, ".00")), F.concat(F.lit("SGST @ 9% "), money(k, ".50")), F.concat(F.lit("Total due within thirty days of receipt: "), money(k * 3 + 100, ".00")))
+    beside = lines(F.concat(F.lit("Sold By : "), "name"), "Invoice Value:", F.concat(F.lit("₹ "), money(k, ".25")), F.concat(F.lit("VAT: "), money(k, ".00")))
+    texts = x.select(k.alias("doc_id"), F.when(k % 3 == 0, header).when(k % 3 == 1, numbers).otherwise(beside).alias("text"))
+    items = V.invoices(spark, d).where(k % 3 == 2).select(k.alias("doc_id"), money(k, ".25").cast(V.MONEY).alias("line_total"))
+    out = N.extract_text(texts, items)
+    return out.select("doc_id", "vendor_name", F.col("buyer.name").alias("buyer_name"), "buyer.billing_address", F.get("taxes", F.lit(0))["tax_type"].alias("tax_type"), "tax_total", "subtotal", "grand_total")
