@@ -6,7 +6,7 @@ and a template with a and b distinct bigrams can reach t = 2 common / (a + b) on
 b (2 - t) / t. Compared are whole sentences and, as notices are wrapped over lines or stand inside longer sentences,
 all windows of admissible size over the words of the whole text that begin and end with a bigram of the template (others
 are bettered by a shorter one). Of stretches that overlap the best counts. Whole texts are compared with whole licences (TEXTS)
-in the same way, by size first, so that few of them are taken apart. Documents and places in them count only if
+in the same way; only texts that hold enough of a licence's words are taken apart. Documents and places in them count only if
 they hold one of a set of words chosen such that every template loses its match without them (more than the share of
 its bigrams that a match may lack holds one), so nothing is lost.
 
@@ -94,16 +94,48 @@ def _dice(grams: Column, template: Column) -> Column:
     return 2 * F.size(F.array_intersect(grams, template)) / (F.size(grams) + F.size(template))
 
 
+def apart_words(grams: list[str], least: float) -> tuple[dict[str, int], float]:
+    """Words no two of which stand in the same bigram, with their bigrams, and how many of these a match holds at least."""
+    of = {w: {g for g in grams if w in g.split(" ")} for g in grams for w in g.split(" ")}
+    chosen: dict[str, int] = {}
+    used: set[str] = set()
+    for w in sorted(of, key=lambda w: (w in COMMON, -len(of[w]), -len(w), w)):
+        if not of[w] & used:
+            chosen[w] = len(of[w])
+            used |= of[w]
+    return chosen, len(used) - len(grams) * (1 - least / (2 - least)) - 1e-9
+
+
+def _may_be(text: Column, grams: list[list[str]], least: float) -> Column:
+    """Whether a text holds the words without which it can't be like one of ``grams``, whatever its length."""
+    needed = needed_words(grams, least)
+
+    def one_of(t: Column) -> Column:
+        held = F.lit(False)
+        for w in needed:
+            held = held | F.contains(t, F.lit(w))
+        return held
+
+    def enough(t: Column) -> Column:
+        each = F.lit(False)
+        for g in grams:
+            words, sum_ = apart_words(g, least)
+            each = each | (sum(F.contains(t, F.lit(w)).cast("int") * n for w, n in words.items()) >= sum_)
+        return each
+
+    # The text is put in lower case once.
+    return F.element_at(F.transform(F.array(F.lower(text)), lambda t: one_of(t) & enough(t)), 1)
+
+
 def _whole(docs: DataFrame, texts: dict[str, str], least: float, id_col: str, text_col: str) -> DataFrame:
-    """id, ``licence`` and ``dice`` for each text that is, but for little, a whole licence: the one it is most like."""
+    """id, ``licence`` and ``dice`` for each text that is, but for little, a whole licence: the one it is most like. Repeated
+    passages and long words make a text longer but not less like, so its distinct bigrams alone bound its size."""
     low, high = least / (2 - least), (2 - least) / least
-    grams = {name: bigrams_of(t) for name, t in texts.items()}
-    least_words, most_chars = min(len(g) for g in grams.values()) * low, max(len(t) for t in texts.values()) * high * 2
-    # Only texts of a licence's length can match; a text twice as long in characters would have to be half white space.
-    marks = F.length(F.regexp_replace(F.col(text_col), r"[^A-Za-z0-9]+", " "))
-    near = docs.select(F.col(id_col), F.col(text_col).alias("__text")).where((F.length(text_col) >= least_words * 2) & (marks <= most_chars) & F.col(text_col).rlike("(?i)software"))
+    grams = {name: g for name, t in texts.items() if (g := bigrams_of(t))}
+    near = docs.select(F.col(id_col), F.col(text_col).alias("__text")).where(_may_be(F.col(text_col), list(grams.values()), least) if grams else F.lit(False))
     own = near.select(id_col, F.array_distinct(_bigrams(F.split(F.trim(F.lower(F.regexp_replace("__text", "[^A-Za-z0-9]+", " "))), " "))).alias("own"))
     each = [F.when(F.size("own").between(int(len(g) * low), int(len(g) * high) + 1), F.struct((-_dice(F.col("own"), F.array(*map(F.lit, g)))).alias("less"), F.lit(name).alias("licence"))) for name, g in grams.items()]
+    each = each or [F.lit(None).cast("struct<less:double,licence:string>")]
     best = own.select(id_col, F.array_min(F.filter(F.array(*each), lambda c: c.isNotNull())).alias("b")).where(F.col("b.less") <= -least)
     return best.select(id_col, F.col("b.licence").alias("licence"), (-F.col("b.less")).alias("dice"))
 

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 import time
 from collections import Counter
 
@@ -308,3 +309,22 @@ def test_whole_licences_and_short_names(spark):
     got = licences.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
     assert {i for i, _, n in rows if n} == {r.doc_id for r in got if (r.doc_id, r.licence) in {(i, n) for i, _, n in rows}}
     assert not [r for r in got if r.doc_id == 92]
+
+
+def test_whole_licences_of_any_length_and_without_one_word(spark):
+    """Repeated passages, long words and another word for software leave a text like its licence."""
+    mit, zlib = licences.TEXTS["MIT"], licences.TEXTS["Zlib"]
+    rows = [(1, "\n".join([mit] * 8)), (2, zlib + " " + "x1" * 20_000), (3, re.sub("(?i)software", "program", mit)), (4, " ".join(reversed(mit.split()))), (5, mit[:500] + " cat" * 3000), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.licence, r.dice) for r in licences._whole(docs, licences.TEXTS, licences.LEAST, "doc_id", "text").collect()}
+    dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b))
+    best = {i: max((dice(set(licences.bigrams_of(t)), set(licences.bigrams_of(x))), n) for n, x in licences.TEXTS.items()) for i, t in rows if t}
+    assert {i: n for i, (n, _) in found.items()} == {i: n for i, (d, n) in best.items() if d >= licences.LEAST} == {1: "MIT", 2: "Zlib", 3: "MIT"}
+    assert all(abs(d - best[i][0]) < 1e-12 for i, (_, d) in found.items())
+    c = duckdb.connect()
+    c.execute("create table documents (doc_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", rows[:2])
+    want = c.execute("select doc_id, licence, sentences, round(dice, 9) from (" + licences.oracle() + ")").fetchall()
+    got = licences.scan(docs.where("doc_id < 3"), templates=licences.TEMPLATES).collect()
+    assert {(i, n) for i, n, _, _ in want} <= {(r.doc_id, r.licence) for r in got}
+    assert licences.scan(docs, texts={}).where("licence = 'Zlib'").count() == 0
