@@ -123,7 +123,8 @@ def smallest_hashes(rows: DataFrame, h: str, limit: int, *ties: str) -> DataFram
     unless that many hashes are equal."""
     place = F.shiftright(h, 50) + F.lit(HASH_RANGES // 2)
     total = last = 0
-    for last, n in sorted(rows.groupBy(place.alias("place")).count().collect()):
+    counts = rows.groupBy(place.alias("place")).count().toArrow().sort_by("place")
+    for last, n in zip(counts.column("place").to_pylist(), counts.column("count").to_pylist()):
         total += n
         if total >= limit:
             break

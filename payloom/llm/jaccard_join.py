@@ -256,10 +256,9 @@ def _candidate_sets(batches: Iterator[pa.RecordBatch], k: int, wanted) -> Iterat
 
 def _heavy_buckets(counts: DataFrame, spark):
     """A bit for each bucket: whether it holds clearly more tokens than the mean bucket, as frequent tokens make it do."""
-    rows = counts.groupBy("bucket").agg(F.sum("count").alias("count")).collect()  # COUNT_BUCKETS rows at most
+    rows = counts.groupBy("bucket").agg(F.sum("count").alias("count")).toArrow()  # COUNT_BUCKETS rows at most
     total = np.zeros(COUNT_BUCKETS, np.int64)
-    for bucket, count in rows:
-        total[bucket] = count
+    total[rows.column("bucket").to_numpy()] = rows.column("count").to_numpy()
     mean = float(np.median(total))
     heavy = total > mean + 3 * math.sqrt(mean) + 8
     return spark.sparkContext.broadcast(np.packbits(heavy, bitorder="little").tobytes())
@@ -270,8 +269,8 @@ def _filter_of(ids: DataFrame, spark):
     at = F.col("doc_id").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
     words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
     bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for word, found in words.collect():  # FILTER_BITS / 64 rows at most
-        bits[word] = found
+    rows = words.toArrow()  # FILTER_BITS / 64 rows at most
+    bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     return spark.sparkContext.broadcast(bits.tobytes())
 
 

@@ -16,6 +16,7 @@ hash of the id; repeated rows are scored alike; texts of any length are read who
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ LABELLED, TERMS, LATENT, NEAREST, POWER, TIE = 4096, 2048, 48, 9, 4, 1e-5
 #: Distances in words at which a repeated word counts, and what such a count weighs (a word has several trigrams).
 AGAIN, AGAIN_WEIGHT = (1, 2, 3), 8
 CHUNK_BYTES = 2_000_000
+#: Labelled rows that are weighted at once.
+CHUNK_ROWS = 256
 #: Fixed weights that hash a trigram of bytes, and the mark of a text's ends, which is no byte of UTF-8.
 _A, _B, _C = 2654435761, 40503 * 65537 % 2**32, 2246822519
 _MARK = 255
@@ -65,8 +68,13 @@ class Model:
     """Weights of terms, projection, labelled latent vectors and their labels."""
 
     def __init__(self, rows: np.ndarray, labels: np.ndarray, seed: int = 9):
-        self.weight = np.log1p(len(rows) / (1 + np.count_nonzero(rows > 0, axis=0))).astype(np.float32)
-        x = self.weighted(rows)
+        """``rows`` are weighted in place, as the driver has room for them once."""
+        held, x = np.zeros(rows.shape[1], np.int64), rows
+        for a in range(0, len(x), CHUNK_ROWS):
+            held += np.count_nonzero(x[a : a + CHUNK_ROWS] > 0, axis=0)
+        self.weight = np.log1p(len(rows) / (1 + held)).astype(np.float32)
+        for a in range(0, len(x), CHUNK_ROWS):
+            x[a : a + CHUNK_ROWS] = self.weighted(x[a : a + CHUNK_ROWS])
         rng = np.random.default_rng(seed)
         k = min(LATENT, *x.shape)
         basis = np.linalg.qr(x.T @ (x @ rng.normal(size=(x.shape[1], k + 16)).astype(np.float32)))[0]
@@ -74,14 +82,17 @@ class Model:
             basis = np.linalg.qr(x.T @ (x @ basis))[0]
         _, vectors = np.linalg.eigh((x @ basis).T @ (x @ basis))
         self.axes = (basis @ vectors[:, ::-1][:, :k]).astype(np.float32)
-        self.known, self.labels = self.latent(rows), labels.astype(np.float32)
+        self.known, self.labels = self._unit(x @ self.axes), labels.astype(np.float32)
 
     def weighted(self, rows: np.ndarray) -> np.ndarray:
         x = rows * self.weight
         return x / np.maximum(1e-12, np.sqrt((x * x).sum(axis=1, keepdims=True)))
 
     def latent(self, rows: np.ndarray) -> np.ndarray:
-        z = self.weighted(rows) @ self.axes
+        return self._unit(self.weighted(rows) @ self.axes)
+
+    @staticmethod
+    def _unit(z: np.ndarray) -> np.ndarray:
         return z / np.maximum(1e-12, np.sqrt((z * z).sum(axis=1, keepdims=True)))
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
@@ -98,7 +109,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         at = 0
         for rows in features(batch.column(2)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), batch.column(1).slice(at, len(rows)), pa.array([r.tobytes() for r in rows], pa.binary())], ["h", "label", "row"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), batch.column(1).slice(at, len(rows)), pa.array([zlib.compress(r.tobytes(), 1) for r in rows], pa.binary())], ["h", "label", "row"])
             at += len(rows)
 
 
@@ -112,8 +123,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     found = rows.mapInArrow(_feature_rows, "h long, label int, row binary").orderBy("h", "label", "row").toArrow()
     if not len(found):
         return None
-    x = np.stack([np.frombuffer(r.as_buffer(), np.float32) for r in found.column("row")])
-    return Model(x, found.column("label").to_numpy())
+    labels, packed = found.column("label").to_numpy(), found.column("row")
+    x = np.empty((len(found), TERMS + len(AGAIN)), np.float32)
+    for i, r in enumerate(packed):
+        x[i] = np.frombuffer(zlib.decompress(r.as_buffer()), np.float32)
+    return Model(x, labels)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
