@@ -7,11 +7,13 @@ import contextlib
 import pickle
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +61,38 @@ def _clean() -> None:
             _delete(spark, where)
 
 
+#: Seconds between two times at which the driver gives memory back, and the share of its heap's bound from which that shrinks.
+GIVE_BACK_S, LARGE_HEAP = 3, 2 / 3
+_GIVEN_BACK = [-float(GIVE_BACK_S)]
+
+
+def give_back(spark: SparkSession) -> str | None:
+    """Let the driver's JVM return to the system what it has freed: the answer of its command, None if it is not yet time again
+    or the JVM has no such command.
+
+    Native memory that Spark's many threads have freed stays with the C library, some 200 MB after plans of many steps. Nothing
+    that is in use goes. A heap that bursts of planning have grown shrinks only in a full collection.
+    """
+    if time.monotonic() - _GIVEN_BACK[0] < GIVE_BACK_S:
+        return None
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    java, management = jvm.java.lang, jvm.javax.management
+    if java.Runtime.getRuntime().totalMemory() > LARGE_HEAP * java.Runtime.getRuntime().maxMemory():
+        java.System.gc()
+    try:
+        # By reflection, as the server's class is not exported to py4j.
+        kinds, values = new_array(java.Class, 4), new_array(java.Object, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = java.Class.forName(kind)
+        values[0], values[1] = management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call = java.Class.forName("javax.management.MBeanServerConnection").getMethod("invoke", kinds)
+        return call.invoke(java.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        return None
+    finally:
+        _GIVEN_BACK[0] = time.monotonic()
+
+
 class Cut:
     """A table written to the shared folder: lineage ends there, and a lost executor costs only a read."""
 
@@ -69,6 +103,7 @@ class Cut:
         self.path = f"{folder}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        give_back(self.spark)
 
     def drop(self) -> None:
         """Delete the files of a table that nothing reads any more."""

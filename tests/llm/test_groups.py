@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -11,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from payloom.llm import bpe, jaccard_join, mixing, registry
+from payloom.llm import bpe, common, jaccard_join, mixing, registry
 from payloom.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -208,3 +209,22 @@ def test_groups_of_rows_that_are_alike_stay_small(spark):
     assert numbered.count() == 40_000 and numbered.distinct().count() == 40_000
     slots = numbered.groupBy(F.pmod(F.xxhash64("id", "size", "nth", F.lit(17)), F.lit(313))).count()
     assert slots.agg(F.max("count")).first()[0] < 4 * mixing.GROUP
+
+
+def test_driver_gives_freed_memory_back(spark, monkeypatch):
+    """Native memory that the driver's JVM has freed goes back to the system once a table is written."""
+    jvm = spark.sparkContext._jvm
+    common.Cut(spark.range(10), "warm")
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status")
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", status.read_text())[1]) / 1024
+    data = spark.sparkContext._gateway.new_array(jvm.byte, 1 << 16)
+    some = [jvm.java.util.zip.Deflater() for _ in range(600)]
+    for x in some:
+        x.setInput(data)
+        x.deflate(spark.sparkContext._gateway.new_array(jvm.byte, 16))
+    full = held()
+    for x in some[:-1]:  # the last one stays, so that what is free lies below it
+        x.end()
+    monkeypatch.setattr(common, "GIVE_BACK_S", 0, raising=False)
+    assert common.Cut(spark.range(10), "given").df.count() == 10
+    assert held() < full - 50
